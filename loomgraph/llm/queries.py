@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linedup, packing, pii, simhash, topk, toxicity
+from . import chat, decontam, htmltext, langid, linedup, packing, pii, simhash, topk, toxicity
 from .util import crc32_mod, table
 
 
@@ -82,8 +82,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, 1, keep_tokens=False)
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_pii, op4_topk, op5_simhash, op6_decontaminate, op7_chat, op8_toxicity, op9_pack)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_pii, op4_topk, op5_simhash, op6_decontaminate, op7_chat, op8_toxicity, op9_pack, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
