@@ -10,7 +10,8 @@ buckets, where all pairs would grow with the square, take an exact way of
 linear size: fingerprints within distance 2 share a point at distance at most
 1 from both, so each one emits the points around it (over the bits outside the
 shared blocks) and is linked with the smallest fingerprint at each point, the
-distance being checked again. Links feed connected components.
+distance being checked again (for distance 1: with the fingerprint that the
+point itself is). Links feed connected components.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like
 others; a text with fewer words than a shingle is one shingle; ids may repeat
@@ -100,8 +101,11 @@ def links(distinct: DataFrame, k: int = 2, pair_bucket: int = 64) -> DataFrame:
     crowd = met.where(F.col("n") > pair_bucket).select("block", "value", "fp", F.explode(F.concat(
         F.array("fp"), F.transform(F.get(flips, F.col("block")), lambda f: F.col("fp").bitwiseXOR(f)))).alias("point"))
     crowd = materialize(crowd, "simhash-points")
-    heads = crowd.groupBy("block", "point").agg(F.min("fp").alias("head"), F.max("fp").alias("tail")).where("head < tail")
-    stars = (crowd.join(heads.select("block", "point", "head"), ["block", "point"]).where("fp > head")
+    if k == 2:
+        heads = crowd.groupBy("block", "point").agg(F.min("fp").alias("head"), F.max("fp").alias("tail")).where("head < tail").select("block", "point", "head")
+    else:  # at distance 1, one of the two is a point of the other
+        heads = crowd.where("point = fp").select("block", "point", F.col("fp").alias("head"))
+    stars = (crowd.join(heads, ["block", "point"]).where("fp > head")
              .where(f"bit_count(fp ^ head) <= {k}").select(F.col("head").alias("a"), F.col("fp").alias("b")))
     out = materialize(pairs.unionByName(stars).distinct(), "simhash-links")
     discard(keyed, buckets, crowd)
