@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, htmltext, langid, linedup, packing, pii, simhash, topk, toxicity
+from . import chat, decontam, htmltext, langid, linedup, oracles, packing, pii, simhash, topk, toxicity
 from .util import crc32_mod, table
 
 
@@ -92,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": oracles.OP2, "op4_topk": oracles.OP4, "op6_decontaminate": oracles.OP6}
