@@ -165,7 +165,7 @@ def _components_by_jumps(graph: Graph) -> Result:
     seconds, n = [], 0
     while True:
         began = time.perf_counter()
-        heard = edges.join(state.df.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("heard"))
+        heard = edges.meet(state.df.select("id", F.col("label").alias("msg"))).groupBy(F.col("src").alias("id")).agg(F.min("msg").alias("heard"))
         # Whoever holds a label tells it the smallest label heard (hooking); then labels take over their labels' labels.
         told = state.df.join(heard, "id", "left").select("id", "label", F.least("label", "heard").alias("best"))
         told = Stored(told, "labels-told")

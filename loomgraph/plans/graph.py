@@ -10,6 +10,26 @@ from ..operators.edges import EdgeOptions, normalize, vertex_classes
 from ..storage import Stored
 
 
+#: The column that spreads a hot sender's edges, and the number of edges below which no sender is hot.
+SALT, LEAST_SHARE = "__salt", 10_000
+
+
+class Dealt:
+    """Edges by sender, and what brings messages to them."""
+
+    def __init__(self, edges: DataFrame, sender: str, hot: DataFrame | None):
+        self.edges, self.sender, self.hot = edges, sender, hot
+
+    def meet(self, messages: DataFrame) -> DataFrame:
+        """Each edge with the message (id, msg) of its sender; messages of hot senders go to each of their partitions."""
+        sent = messages.select(F.col("id").alias(self.sender), "msg")
+        if self.hot is None:
+            return self.edges.join(sent, self.sender)
+        sent = sent.join(F.broadcast(self.hot.withColumnRenamed("id", self.sender)), self.sender, "left").select(
+            self.sender, "msg", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias(SALT))
+        return self.edges.join(sent, [self.sender, SALT])
+
+
 class Graph:
     """An edge (src, dst) is an entry of row src and column dst: columns send, rows receive.
 
@@ -57,12 +77,24 @@ class Graph:
         out._held.append(stored)
         return out
 
-    def dealt(self, column: str) -> DataFrame:
-        """The edges dealt by the sending column and held in executors (spilling to disk), so that joins with messages move only messages."""
+    def dealt(self, column: str) -> Dealt:
+        """The edges dealt and sorted by the sending column and held in executors (spilling to disk), so that joins with messages
+        move only messages. Senders with more edges than a partition's fair share are dealt over several partitions."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        held = self.edges.repartition(n, column).persist()
+        counts = self.edges.groupBy(F.col(column).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        fair = max(LEAST_SHARE, -(-(self.edges.count()) // n))
+        # Fewer than n vertices can have more than an n-th of the edges.
+        hot = [(r["id"], -(-r["n"] // fair)) for r in counts.where(F.col("n") > fair).collect()]
+        if not hot:
+            held, table = self.edges.repartition(n, column).sortWithinPartitions(column), None
+        else:
+            table = self.spark.createDataFrame(hot, "id long, parts long")
+            salted = self.edges.join(F.broadcast(table.withColumnRenamed("id", column)), column, "left").withColumn(
+                SALT, F.pmod(F.xxhash64("src", "dst"), F.coalesce("parts", F.lit(1)))).drop("parts")
+            held = salted.repartition(n, column, SALT).sortWithinPartitions(column, SALT)
+        held = held.persist()
         self._held.append(held)
-        return held
+        return Dealt(held, column, table)
 
     def release(self) -> None:
         """Give back what prepare() and dealt() hold."""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..storage import Stored
-from .graph import Graph
+from .graph import Dealt, Graph
 
 #: The reduced value of a vertex in ``apply``; null where nothing arrived.
 ACC = "acc"
@@ -61,13 +61,10 @@ class Result:
     stored: Stored | None = None
 
 
-def gather(edges: DataFrame, messages: DataFrame, program: VertexProgram, weighted: bool) -> DataFrame:
+def gather(edges: Dealt, messages: DataFrame, program: VertexProgram, weighted: bool) -> DataFrame:
     """(id, acc): the reduced messages of each receiving vertex; messages is (id, msg)."""
-    sender, receiver = ("dst", "src") if program.ordering == "row" else ("src", "dst")
-    sent = messages.select(F.col("id").alias(sender), "msg")
-    met = edges.join(sent, sender)
     value = program.edge_map(F.col("msg"), F.col("weight") if weighted else None)
-    return met.groupBy(F.col(receiver).alias("id")).agg(program.combine(value).alias(ACC))
+    return edges.meet(messages).groupBy(F.col("src" if edges.sender == "dst" else "dst").alias("id")).agg(program.combine(value).alias(ACC))
 
 
 def initial(graph: Graph, program: VertexProgram, init_from: DataFrame | None = None) -> DataFrame:
@@ -79,7 +76,7 @@ def initial(graph: Graph, program: VertexProgram, init_from: DataFrame | None =
     return start.select("id", *[c.alias(n) for n, c in program.init.items()]).select("id", *names, program.active.alias("__active"))
 
 
-def step(state: DataFrame, edges: DataFrame, program: VertexProgram, weighted: bool, iteration: int) -> DataFrame:
+def step(state: DataFrame, edges: Dealt, program: VertexProgram, weighted: bool, iteration: int) -> DataFrame:
     names = list(program.init)
     senders = state if program.stationary else state.where("__active")
     messages = senders.select("id", program.message.alias("msg")).where("msg is not null")

@@ -143,6 +143,21 @@ def test_reports(golden):
     assert [(r["edges"], r["uneven"]) for r in got] == [(8, True), (3, True)]
 
 
+def test_hot_senders_are_spread(make, monkeypatch):
+    """A vertex with most of the edges gives the same results from several partitions."""
+    monkeypatch.setattr("loomgraph.plans.graph.LEAST_SHARE", 10)
+    edges = [(0, k, k) for k in range(1, 80)] + [(k, k + 1, 1) for k in range(1, 79)]
+    g = Graph.from_edges(make(SCHEMA, edges), weight="weight", self_loops=False, parallel_edges=False)
+    dealt = g.dealt("src")
+    assert dealt.hot is not None and dealt.edges.where("src = 0").select("__salt").distinct().count() > 1
+    assert dealt.edges.count() == len(edges)
+    g.release()
+    assert column(A.sssp(g).state, "distance") == list(range(80))
+    both = Graph.from_edges(make(SCHEMA, edges), self_loops=False, **UNDIRECTED)
+    assert column(A.bfs(both).state, "hops") == [0, *[1] * 79]
+    assert set(column(A.connected_components(both).state, "label")) == {0}
+
+
 def test_custom_program_on_the_transpose(golden):
     """Row and column ordering of one program are each other's transpose."""
     def counts(ordering):
