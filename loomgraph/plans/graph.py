@@ -37,8 +37,8 @@ class Graph:
     supersteps; each superstep then shuffles messages and partial results, never the edges.
     """
 
-    def __init__(self, edges: DataFrame, num_vertices: int, options: EdgeOptions = EdgeOptions()):
-        self.edges, self.num_vertices, self.options = edges, num_vertices, options
+    def __init__(self, edges: DataFrame, num_vertices: int, options: EdgeOptions = EdgeOptions(), hasher=None):
+        self.edges, self.num_vertices, self.options, self.hasher = edges, num_vertices, options, hasher
         self.weighted = "weight" in edges.columns
         self._held: list = []
 
@@ -55,7 +55,7 @@ class Graph:
         if num_vertices is None:
             num_vertices = edges.agg(F.max(F.greatest("src", "dst"))).first()[0] or 0
         own = None if hashing == "none" else make_hasher(hashing, num_vertices + 1, buckets)
-        return cls(normalize(edges, options, num_vertices=num_vertices, hasher=own), num_vertices, options)
+        return cls(normalize(edges, options, num_vertices=num_vertices, hasher=own), num_vertices, options, own)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, num_vertices: int | None = None, *, fmt: str = "auto", weighted: bool = False, mode: str = "FAILFAST", **flags) -> Graph:
@@ -64,6 +64,12 @@ class Graph:
 
         return cls.from_edges(read_edges(spark, path, fmt=fmt, weighted=weighted, mode=mode), weight="weight" if weighted else None, num_vertices=num_vertices, **flags)
 
+    def original(self, state: DataFrame, *columns: str) -> DataFrame:
+        """A result with the ids of before hashing, in ``id`` and further columns that hold ids (parent, label)."""
+        if self.hasher is None:
+            return state
+        return state.withColumns({c: self.hasher.unhash(F.col(c)) for c in ("id", *columns)})
+
     def vertices(self) -> DataFrame:
         return self.spark.range(self.num_vertices + 1)
 
@@ -73,7 +79,7 @@ class Graph:
     def prepare(self) -> Graph:
         """This graph with its edges stored. The caller's graph stays as it is."""
         stored = Stored(self.edges, "edges")
-        out = Graph(stored.df, self.num_vertices, self.options)
+        out = Graph(stored.df, self.num_vertices, self.options, self.hasher)
         out._held.append(stored)
         return out
 

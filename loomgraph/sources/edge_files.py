@@ -90,6 +90,14 @@ def read_binary(spark: SparkSession, path: str, *, weighted: bool = False) -> Da
     return raw.select(*[number(k).alias(c) for k, c in enumerate(("src", "dst", "weight")[: size // 4])])
 
 
+def reconciled(edges: DataFrame, expected: int) -> DataFrame:
+    """The edges, once their number is what was expected; else an error."""
+    found = edges.count()
+    if found != expected:
+        raise ValueError(f"{found} edges were read, {expected} expected")
+    return edges
+
+
 def write_text(edges: DataFrame, path: str) -> None:
     edges.select(F.concat_ws(" ", *_columns(edges)).alias("value")).write.text(path)
 

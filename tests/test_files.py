@@ -50,6 +50,12 @@ def test_partial_record(spark, tmp_path):
         E.read_binary(spark, str(tmp_path / "a.bin"))
 
 
+def test_reconciled(edges):
+    assert E.reconciled(edges, 3) is edges
+    with pytest.raises(ValueError, match="3 edges were read, 4 expected"):
+        E.reconciled(edges, 4)
+
+
 def test_missing_and_empty(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         E.read_edges(spark, str(tmp_path / "none"))

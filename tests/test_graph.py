@@ -168,6 +168,21 @@ def test_custom_program_on_the_transpose(golden):
     assert column(run(golden(), counts("col"), 1).state, "n") == column(run(golden(transpose=True), counts("row"), 1).state, "n")
 
 
+def test_hashed_graph_has_the_same_components(make):
+    edges = [(k, k + 3) for k in range(0, 300, 7)]
+    plain = Graph.from_edges(make("src long, dst long", edges), num_vertices=400, **UNDIRECTED)
+    hashed = Graph.from_edges(make("src long, dst long", edges), num_vertices=400, hashing="bucket", buckets=1, **UNDIRECTED)
+    assert edge_set(hashed.edges) != edge_set(plain.edges)
+
+    def partition(g):
+        groups = {}
+        for r in g.original(A.connected_components(g).state, "label").collect():
+            groups.setdefault(r["label"], set()).add(r["id"])
+        return sorted(map(sorted, groups.values()))
+
+    assert partition(hashed) == partition(plain)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 5000), st.integers(1, 9))
 def test_bucket_hash_is_a_bijection(domain, buckets):
