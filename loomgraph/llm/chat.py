@@ -8,10 +8,11 @@ window's own exactly once.
 
 The room T of a window is the budget less the system turn and the history. A
 turn of more than T / 2 tokens is a window of its own; other turns go by the
-half rooms their prefix sum falls into, so their windows hold at most T. All
-sums have two levels, within runs of ``run`` turn numbers and over the runs,
-and history is looked up in cells of the prefix sum, so a very long
-conversation is spread over tasks; what is gathered into one row is a window,
+half rooms their prefix sum falls into, so their windows hold at most T. The
+sums have two levels, within runs of ``run`` turn numbers and over the runs.
+Windows do not reach over runs, nor does their history, so everything else
+happens where a run's turns are: a very long conversation is spread over
+tasks, texts are shuffled once, and what is gathered into one row is a window,
 bounded by the budget (or one turn, if that is longer, flagged ``over``).
 
 A turn is ``<|role|>`` newline, text, ``<|end|>`` newline. Within texts and
@@ -30,8 +31,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize
-
 END = "<|end|>\n"
 
 
@@ -48,20 +47,6 @@ def token_count(text: Column) -> Column:
     return (F.ceil(F.length(text) / 4) + 4).cast("long")
 
 
-def _placed(rows: DataFrame, run: int) -> DataFrame:
-    """rows with pos (from 0) and before (tokens of earlier turns), by sums of two levels."""
-    runs = Window.partitionBy("conv_id").orderBy("run")
-    inner = Window.partitionBy("conv_id", "run").orderBy("turn", "role", "text")
-    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("run", F.coalesce(F.floor(F.col("turn") / run), F.lit(-(1 << 62))))
-    sums = rows.groupBy("conv_id", "run").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
-    earlier = sums.select(F.col("conv_id").alias("c"), F.col("run").alias("r"), (F.sum("n").over(runs) - F.col("n")).alias("n0"), (F.sum("t").over(runs) - F.col("t")).alias("t0"))
-    return (rows.withColumn("nth", F.row_number().over(inner)).withColumn("sum", F.sum("tokens").over(upto))
-            .join(earlier, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
-            .withColumn("pos", F.col("n0") + F.col("nth") - 1).withColumn("before", F.col("t0") + F.col("sum") - F.col("tokens"))
-            .drop("n0", "t0", "nth", "sum", "c", "r"))
-
-
 def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 256, run: int = 256, *, conv_col: str = "conv_id",
                          turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """One row per window: conv_id, window (its first own turn's position), formatted, n_repeated (turns that only repeat),
@@ -71,38 +56,40 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 25
     """
     if budget < 4 or not 0 <= history <= budget // 2:
         raise ValueError("history must be at most half of the budget")
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-                        (token_count(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens).alias("tokens"))
-    at = _placed(rows, run)
-    system = at.where("pos = 0 and role = 'system'").select(F.col("conv_id").alias("c"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
-    at = at.join(system, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    # A null conversation is told by a flag, so that keys are plain equalities and share one partitioning.
+    conv, part = ["c", "none"], ["c", "none", "run"]
+    rows = turns.select(
+        F.coalesce(F.col(conv_col), F.lit(0).cast(turns.schema[conv_col].dataType)).alias("c"), F.col(conv_col).isNull().alias("none"), F.coalesce(F.floor(F.col(turn_col) / run), F.lit(-(1 << 62))).alias("run"),
+        F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        (token_count(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens).alias("tokens"))
+    # Over the runs: what came before each, and the conversation's first turn if that is the system's.
+    opening = F.min(F.struct(F.col("turn").isNotNull(), "turn", "role", "text", "tokens"))
+    over = Window.partitionBy(*conv).orderBy("run")
+    every = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), opening.alias("opening"))
+    head = F.first("opening").over(every)
+    told = head["role"] == "system"
+    runs = runs.select(*part, (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("t").over(over) - F.col("t")).alias("t0"),
+                       F.when(told, head["text"]).alias("system"), F.when(told, head["tokens"]).alias("system_tokens"))
+    # Within a run: places, long turns, windows, and the history of each turn.
+    inner = Window.partitionBy(*part).orderBy("turn", "role", "text")
+    upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = (rows.withColumn("nth", F.row_number().over(inner)).withColumn("sum", F.sum("tokens").over(upto)).join(runs, part)
+          .withColumn("pos", F.col("n0") + F.col("nth") - 1).withColumn("before", F.col("t0") + F.col("sum") - F.col("tokens")))
     half = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))) / 2))
-    at = at.withColumn("half", half).withColumn("long", (F.col("tokens") > F.col("half")).cast("long"))
-    # How many long turns came up to here, again by sums of two levels.
-    runs, inner = Window.partitionBy("conv_id").orderBy("run"), Window.partitionBy("conv_id", "run").orderBy("pos")
-    longs = at.groupBy("conv_id", "run").agg(F.sum("long").alias("n")).select(
-        F.col("conv_id").alias("c"), F.col("run").alias("r"), (F.sum("n").over(runs) - F.col("n")).alias("l0"))
-    at = (at.withColumn("l", F.sum("long").over(inner)).join(longs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
-          .withColumn("stretch", F.col("l0") + F.col("l")).drop("l", "l0", "c", "r"))
-    at = materialize(at.withColumn("span", F.when(F.col("long") == 1, F.lit(-1)).otherwise(F.floor(F.col("before") / F.col("half")))), "chat-turns")
-
-    own = F.struct(F.col("pos"), F.col("role"), F.col("text"), F.col("tokens"), F.lit(True).alias("own"))
-    spans = at.groupBy("conv_id", "stretch", "long", "span").agg(
-        F.min("pos").alias("first"), F.min("before").alias("from"), F.min("system").alias("system"), F.max("system_tokens").alias("system_tokens"),
-        F.sort_array(F.collect_list(own)).alias("turns"))
-    if history:
-        # The turns that start at most ``history`` tokens before the window; each is looked for in two cells of that size.
-        past = at.where("pos > 0 or role <> 'system'").select(
-            F.col("conv_id").alias("c"), F.explode(F.array(F.floor(F.col("before") / history), F.floor(F.col("before") / history) + 1)).alias("cell"),
-            F.col("pos").alias("p"), F.col("before").alias("b"), F.col("role").alias("r"), F.col("text").alias("x"), F.col("tokens").alias("t"))
-        heads = spans.select("conv_id", "first", "from", F.floor(F.col("from") / history).alias("k"))
-        told = (heads.join(past, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("k") == F.col("cell")) & (F.col("p") < F.col("first")) & (F.col("from") - F.col("b") <= history))
-                .groupBy(F.col("conv_id").alias("c"), F.col("first").alias("f"))
-                .agg(F.sort_array(F.collect_list(F.struct(F.col("p").alias("pos"), F.col("r").alias("role"), F.col("x").alias("text"), F.col("t").alias("tokens"), F.lit(False).alias("own")))).alias("told")))
-        spans = spans.join(told, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("first") == F.col("f")), "left")
-    else:
-        spans = spans.withColumn("told", F.lit(None).cast("array<struct<pos:bigint,role:string,text:string,tokens:bigint,own:boolean>>"))
+    by_pos = Window.partitionBy(*part).orderBy("pos")
+    at = (at.withColumn("half", half).withColumn("long", (F.col("tokens") > F.col("half")).cast("long"))
+          .withColumn("stretch", F.sum("long").over(by_pos))
+          .withColumn("span", F.when(F.col("long") == 1, F.lit(-1)).otherwise(F.floor(F.col("before") / F.col("half")))))
+    turn = lambda own: F.struct("pos", "role", "text", "tokens", F.lit(own).alias("own"))
+    past = Window.partitionBy(*part).orderBy("before").rangeBetween(-history, -1)
+    repeated = F.collect_list(F.when((F.col("pos") > 0) | F.col("system").isNull(), turn(False))).over(past) if history else F.array().cast(
+        "array<struct<pos:bigint,role:string,text:string,tokens:bigint,own:boolean>>")
+    at = at.withColumn("told", repeated)
+    spans = at.groupBy(*part, "stretch", "long", "span").agg(
+        F.min("pos").alias("first"), F.min("system").alias("system"), F.max("system_tokens").alias("system_tokens"), F.min_by("told", "pos").alias("told"),
+        F.sort_array(F.collect_list(turn(True))).alias("turns"))
+    spans = spans.withColumn("conv_id", F.when(~F.col("none"), F.col("c")))
     none = F.filter("turns", lambda _: F.lit(False))
     kept = F.when((F.col("first") > 0) & F.col("system").isNotNull(), F.array(F.struct(
         F.lit(0).cast("long").alias("pos"), F.lit("system").alias("role"), F.col("system").alias("text"), F.col("system_tokens").alias("tokens"), F.lit(False).alias("own")))).otherwise(none)
