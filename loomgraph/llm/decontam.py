@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .util import held, prepare_python
+
 #: Bytes of a normalised text: A-Z lowered, 0-9, a-z and non-ASCII kept, the rest blank.
 _NORM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +56,7 @@ def item_windows(items: DataFrame, n: int = 10, item_id: str = "item_id", item_t
                     windows.append(b" ".join(words[k : k + n]))
             yield pd.DataFrame({"item": pd.Series(ids, dtype="int64"), "window": windows})
 
+    prepare_python(items.sparkSession)
     rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
     return (rows.mapInPandas(cut, "item long, window binary")
             .groupBy("window").agg(F.collect_set("item").alias("items")))
@@ -112,24 +115,26 @@ def _spans(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-_INDEXES: dict[str, _Index] = {}
+def _blocks(benchmark: DataFrame, n: int, item_id: str, item_text: str, block_windows: int) -> list[DataFrame]:
+    """The windows in blocks of at most about ``block_windows``, so that what is broadcast at a time is bounded."""
+    windows = item_windows(benchmark, n, item_id, item_text)
+    blocks = max(1, -(-windows.count() // block_windows))
+    return [windows] if blocks == 1 else [windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b) for b in range(blocks)]
 
 
-def _index(key: str, sent) -> _Index:
-    """One index at a time stays with the worker, for all its tasks."""
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = _Index(sent.value)
-    return _INDEXES[key]
+def _sent(windows: DataFrame):
+    """The broadcast windows of a block and a key for the workers' index."""
+    rows = [(bytes(r["window"]), r["items"]) for r in windows.collect()]
+    return windows.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
 
-def _scan_block(df: DataFrame, windows: list, out: str, text_col: str) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast(windows)
-    key = uuid.uuid4().hex
+def _scan_block(df: DataFrame, windows: DataFrame, out: str, text_col: str) -> DataFrame:
+    prepare_python(df.sparkSession)
+    sent, key = _sent(windows)
 
     @F.pandas_udf(HIT_SCHEMA)
     def scan(texts: pd.Series) -> pd.DataFrame:
-        index = _index(key, sent)
+        index = held(key, lambda: _Index(sent.value))
         n, spans, items = [], [], []
         for text in texts:
             words = words_of(text)
@@ -150,15 +155,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, te
     An existing column named ``out`` is replaced. At most about ``block_windows`` windows are broadcast
     at a time; further blocks only add map-side scans of the same rows.
     """
-    windows = item_windows(benchmark, n, item_id, item_text)
-    total = windows.count()
-    blocks = max(1, -(-total // block_windows))
-    parts = []
-    df = docs
-    for b in range(blocks):
-        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+    windows = _blocks(benchmark, n, item_id, item_text, block_windows)
+    blocks, parts, df = len(windows), [], docs
+    for b, part in enumerate(windows):
         col = out if blocks == 1 else f"{out}__{b}"
-        df = _scan_block(df, [(bytes(r["window"]), r["items"]) for r in part.collect()], col, text_col)
+        df = _scan_block(df, part, col, text_col)
         parts.append(col)
     if blocks == 1:
         return df
@@ -192,27 +193,46 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *,
     if action not in ("spans", "documents"):
         raise ValueError(f"unknown action {action!r}")
     mark = "__contamination"
-    found = find_contamination(docs, benchmark, n, text_col=text_col, out=mark, block_windows=block_windows)
-    share = n_hit(mark)
-    if action == "documents":
-        return found.where(share == 0).drop(mark)
+    windows = _blocks(benchmark, n, "item_id", "text", block_windows)
+    if len(windows) == 1:
+        # Finding and cutting in one call: two of them would hold two workers a task.
+        prepare_python(docs.sparkSession)
+        sent, key = _sent(windows[0])
+
+        @F.pandas_udf("n_words long, n_hit long, rest string")
+        def clean(texts: pd.Series) -> pd.DataFrame:
+            index, rows = held(key, lambda: _Index(sent.value)), []
+            for text in texts:
+                words = words_of(text)
+                mask, of = index.scan(words)
+                rows.append((len(words), int(mask.sum()), _cut(text, _spans(mask)) if of else None))
+            return pd.DataFrame(rows, columns=["n_words", "n_hit", "rest"])
+
+        # Else the filter below would move under the projection and the texts be scanned once for each.
+        found = docs.withColumn(mark, clean.asNondeterministic()(F.col(text_col)))
+        hit, rest = F.col(mark)["n_hit"], F.coalesce(F.col(mark)["rest"], F.col(text_col))
+    else:
+        found, hit = find_contamination(docs, benchmark, n, text_col=text_col, out=mark, block_windows=block_windows), n_hit(mark)
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([_cut(t, s) if s is not None and len(s) else t for t, s in zip(texts, spans)], dtype=object)
+        @F.pandas_udf("string")
+        def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+            return pd.Series([_cut(t, [(s["start"], s["end"]) for s in x]) if len(x) else t for t, x in zip(texts, spans)], dtype=object)
 
-    kept = found.where((share == 0) | (share <= F.col(mark)["n_words"] * F.lit(max_share)))
-    return kept.withColumn(text_col, cut(F.col(text_col), F.col(mark)["spans"])).drop(mark)
+        rest = cut(F.col(text_col), F.col(mark)["spans"])
+    if action == "documents":
+        return found.where(hit == 0).drop(mark)
+    kept = found.where((hit == 0) | (hit <= F.col(mark)["n_words"] * F.lit(max_share)))
+    return kept.withColumn(text_col, rest).drop(mark)
 
 
-def _cut(text: str, spans) -> str:
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and what stands between them, up to the next word."""
     raw = text.encode("utf-8", "surrogatepass")
     flat = np.frombuffer(raw.translate(_NORM), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flat.view(np.int8), [0]))))
     starts, ends = edge[::2], edge[1::2]
     out, at = [], 0
-    for s in spans:
-        a, b = s["start"], s["end"]
+    for a, b in spans:
         out.append(raw[at : starts[a]])
         at = int(starts[b]) if b < len(starts) else int(ends[b - 1])
     out.append(raw[at:])

@@ -39,6 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import held, prepare_python
+
 # Fixed values of the HTML standard: elements that never have content, that hold raw text, that end a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -501,23 +503,14 @@ def extract(page: str | None, model: Model, threshold: float = 0.5) -> str:
     return "\n".join(blocks_of(page, model, threshold))
 
 
-_HELD: dict[str, Model] = {}
-
-
-def _held(key: str, sent) -> Model:
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = sent.value
-    return _HELD[key]
-
-
 def extract_pages(pages: DataFrame, model: Model | None = None, *, threshold: float = 0.5, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the main text as column ``out``."""
+    prepare_python(pages.sparkSession)
     sent, key = pages.sparkSession.sparkContext.broadcast(model or default_model()), uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _held(key, sent)
+        own = held(key, lambda: sent.value)
         for htmls in batches:
             yield pd.Series([extract(h, own, threshold) for h in htmls], dtype=object)
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc32_mod
+from .util import crc32_mod, held, prepare_python
 
 UND = "und"
 _BETWEEN = re.compile(r"[\W\d_]+")
@@ -65,18 +65,20 @@ class Classifier:
         return self.langs[order[0]], float(1 / np.exp(-gain).sum()), margin
 
 
-def learn(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 1024, dict_bytes: int = 112_640, id_col: str = "doc_id",
+def learn(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 1024, dict_bytes: int = 112_640, max_langs: int = 256, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang", fold: int | None = None, folds: int = 4) -> dict[str, bytes]:
     """Dictionary content per language from a bounded sample of labelled texts.
 
     The sample is at most ``docs_per_lang`` texts of each language, first by a hash of the id, and of each a passage of
-    ``chars_per_doc`` characters from a place drawn from the same hash. Rows of the fold ``fold`` are left out.
+    ``chars_per_doc`` characters from a place drawn from the same hash. Rows of the fold ``fold`` are left out. The
+    ``max_langs`` most frequent languages are learned.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if fold is not None:
         known = known.where(crc32_mod(F.col(id_col), folds) != fold)
     mixed = F.xxhash64(F.col(id_col), F.lit(5))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+              .orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
     contents = {}
     if not counts:
         return contents
@@ -94,24 +96,15 @@ def learn(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 102
     return {lang: whole[lang][:size] for lang in sorted(whole, key=lambda x: (-counts[x], x)) if len(whole[lang]) >= 8}
 
 
-_HELD: dict[str, Classifier] = {}
-
-
-def _classifier(key: str, sent) -> Classifier:
-    """One classifier at a time stays with the worker, for all its tasks."""
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Classifier(sent.value)
-    return _HELD[key]
-
-
 def identify(docs: DataFrame, contents: dict[str, bytes], *, min_margin: float = 0.01, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with a struct column ``out``: lang (``und`` if rejected), best, score, margin."""
+    prepare_python(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(contents), uuid.uuid4().hex
 
     @F.pandas_udf("lang string, best string, score double, margin double")
     def classify(texts: pd.Series) -> pd.DataFrame:
-        found = [_classifier(key, sent)(t) for t in texts]
+        classifier = held(key, lambda: Classifier(sent.value))
+        found = [classifier(t) for t in texts]
         return pd.DataFrame({"lang": [b if m >= min_margin else UND for b, _, m in found], "best": [b for b, _, _ in found],
                              "score": [s for _, s, _ in found], "margin": [m for _, _, m in found]})
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize
+from .util import held, materialize, prepare_python
 
 PIECES = "doc_id long, piece int, start long, length long, tokens binary"
 
@@ -39,7 +39,7 @@ class Encoder:
     where it does what the tokenizer's own normaliser does. Everything else goes to the tokenizer itself.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,13 +73,8 @@ class Encoder:
         return b"".join(got)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, *, id_col: str = "doc_id",
@@ -89,18 +84,19 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for pdf in batches:
-            rows, held = [], 0
+            rows, tokens = [], 0
             for i, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = (encode(text) if text else b"") + end
                 n = len(ids) // 4
                 rows += [(i, k, a, min(size, n - a), ids[4 * a : 4 * (a + size)]) for k, a in enumerate(range(0, n, size))]
-                held += n
-                if held > 1 << 21:
+                tokens += n
+                if tokens > 1 << 19:
                     yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "tokens"])
-                    rows, held = [], 0
+                    rows, tokens = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "tokens"])
 
+    prepare_python(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, PIECES)
 
 

@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import prepare_python
+
 _ROUNDS = 8
 
 
@@ -263,6 +265,7 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
 def pseudonymise_documents(docs: DataFrame, key: bytes, *, text_col: str = "text", out: str = "pii") -> DataFrame:
     """docs with the text column replaced by pseudonymised text, and a column ``out``: array of (start, end, kind) in the input."""
     secret = sha256(key).digest()
+    prepare_python(docs.sparkSession)
 
     @F.pandas_udf("text string, spans array<struct<start: int, end: int, kind: string>>")
     def apply(texts: pd.Series) -> pd.DataFrame:

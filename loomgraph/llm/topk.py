@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialize
+from .util import materialize, prepare_python
 
 INDEX = "dims int, n int, ids binary, rows binary, levels binary, counts binary, docs binary, columns binary, values binary"
 HITS = "query_row long, query_id long, vec_id long, score long"
@@ -61,6 +61,7 @@ def _shard(ids: list[int], rows: list[int], m: np.ndarray, width: int) -> tuple:
 def build_index(vectors: DataFrame, *, shard_rows: int = 8192, width: int = 12) -> DataFrame:
     """The stored index of scaled() vectors, one row per shard; ``width`` is the quantisation of impacts."""
     columns = [c.split()[0] for c in INDEX.split(", ")]
+    prepare_python(vectors.sparkSession)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[int, list] = {}

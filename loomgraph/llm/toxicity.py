@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import crc32_mod
+from .util import crc32_mod, held, prepare_python
 
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -116,54 +116,67 @@ def train(texts: list[str | None], labels: list[int], *, buckets: int = 1 << 18,
     rng = np.random.default_rng(seed)
     # Words are numbered; a document is the sequence of its numbers.
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
-    ids, sizes = subwords(list(number), buckets)
-    used, ids = np.unique(ids, return_inverse=True)
-    word_of = np.repeat(np.arange(len(number)), sizes)
+    docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
+    # In slabs, so that what is needed on the way stays small.
+    every = list(number)
+    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(every), 20_000):
+        flat, n = subwords(every[k : k + 20_000], buckets)
+        ids.append(flat.astype(np.int32))
+        sizes.append(n)
+    ids, sizes = np.concatenate(ids), np.concatenate(sizes)
+    del every, number
     begins = np.cumsum(sizes) - sizes
-    seen_in = np.zeros((2, len(used)))  # documents of each class that have the subword
+    seen_in = np.zeros((2, buckets), np.float32)  # documents of each class that have the subword
     for doc, c in zip(docs, y.astype(int)):
         own = np.unique(doc)
         n = sizes[own]
         flat = np.repeat(begins[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         seen_in[c][np.unique(ids[flat])] += 1
-    common = (seen_in.sum(0) >= min_docs)[:, None]
+    # Only the pairs (word, subword) of common subwords are kept; the others' vectors are zero.
+    common = np.flatnonzero(seen_in.sum(0) >= min_docs)
+    number_of = np.full(buckets, -1, np.int32)
+    number_of[common] = np.arange(len(common))
+    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    ids = number_of[ids]
+    word_of, ids, seen_in = word_of[ids >= 0], ids[ids >= 0], seen_in[:, common]
     at, start, end, owner = [], [], [], []
     base = 0
     for d, doc in enumerate(docs):
         a, b = windows_of(len(doc), window)
         at.append(doc)
-        start.append(a + base)
-        end.append(b + base)
-        owner.append(np.full(len(a), d))
+        start.append((a + base).astype(np.int32))
+        end.append((b + base).astype(np.int32))
+        owner.append(np.full(len(a), d, np.int32))
         base += len(doc)
     at, start, end, owner = map(np.concatenate, (at, start, end, owner))
+    n_docs = len(docs)
+    del docs
     length = np.maximum(end - start, 1)
-    first = np.searchsorted(owner, np.arange(len(docs)))
-    take = strongest(np.bincount(owner, minlength=len(docs)), top, pool)
+    first = np.searchsorted(owner, np.arange(n_docs))
+    take = strongest(np.bincount(owner, minlength=n_docs), top, pool)
     # The vectors start along the classes' odds, so that the first strongest windows are chosen for a reason.
     totals = np.array([[(y == 0).sum()], [(y == 1).sum()]])
     share = (seen_in + 1) / (totals + 2)
     lead = np.log(share[1] / share[0])
     direction = rng.normal(0, 1, dim)
     direction /= np.linalg.norm(direction)
-    emb = (np.outer(np.where(lead > 0, lead, 0.3 * lead), direction) + rng.normal(0, 0.01, (len(used), dim))) * common
+    emb = np.outer(np.where(lead > 0, lead, 0.3 * lead), direction) + rng.normal(0, 0.01, (len(common), dim))
     out = np.stack((-direction, direction), 1) * gain
     bias = np.zeros(2)
     cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** balance
     fast = [np.zeros_like(emb), np.zeros_like(out), np.zeros_like(bias)]  # running squares, for step sizes
+    run = np.zeros(len(at) + 1)
     for epoch in range(epochs):
-        ends = np.cumsum(sizes)
         slope = out[:, 1] - out[:, 0]
-        per_sub = emb @ slope
-        per_word = np.add.reduceat(per_sub[ids], ends - sizes) / sizes
-        run = np.concatenate(([0.0], np.cumsum(per_word[at])))
+        per_word = np.bincount(word_of, (emb @ slope)[ids], len(sizes)) / sizes
+        np.cumsum(per_word[at], out=run[1:])
         logit = (run[end] - run[start]) / length + bias[1] - bias[0]
         # The strongest windows of each document share its gradient.
         order = np.lexsort((-logit, owner))
         place = np.arange(len(order)) - first[owner[order]]
         pick = order[place < take[owner[order]]]
-        mean = np.bincount(owner[pick], logit[pick], len(docs)) / take
+        mean = np.bincount(owner[pick], logit[pick], n_docs) / take
         p = 1 / (1 + np.exp(-mean))
         g = (p - y) * cost / cost.sum()
         # Forward and backward through the chosen windows only.
@@ -173,24 +186,24 @@ def train(texts: list[str | None], labels: list[int], *, buckets: int = 1 << 18,
         word = at[np.repeat(start[pick], end[pick] - start[pick]) + inner]
         own = (g / take)[owner[pick]]  # for the logit of 1; the negative for 0
         per_word_g = np.bincount(word, (own / span)[rows], len(sizes)) / sizes
-        coef = np.bincount(ids, per_word_g[word_of], len(used))
+        coef = np.bincount(ids, per_word_g[word_of], len(common))
         grad_slope = emb.T @ coef
         d_out = np.stack((-grad_slope, grad_slope), 1)
-        d_emb = (np.outer(coef, slope) + decay * emb) * common
+        d_emb = np.outer(coef, slope) + decay * emb
         d_bias = np.array([-g.sum(), g.sum()])
         for value, grad, square in zip((emb, out, bias), (d_emb, d_out, d_bias), fast):
             square *= 0.9
             square += 0.1 * grad * grad
             value -= rate * 0.2 * grad / (np.sqrt(square) + 1e-8) / (1 + epoch / 10)
     weight = np.zeros(buckets, np.float32)
-    weight[used] = emb @ (out[:, 1] - out[:, 0])
+    weight[common] = emb @ (out[:, 1] - out[:, 0])
     return Model(weight, float(bias[1] - bias[0]), window, top, pool)
 
 
 class Scorer:
     """Scores texts; words' weights are remembered, a bounded number of them."""
 
-    def __init__(self, model: Model, remember: int = 400_000):
+    def __init__(self, model: Model, remember: int = 200_000):
         self.model, self.remember, self.known = model, remember, {}
 
     def __call__(self, texts) -> np.ndarray:
@@ -236,24 +249,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, max_docs: int = 4000,
     return [r["__text"] for r in rows], [r["__y"] for r in rows]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, sent) -> Scorer:
-    """One scorer at a time stays with the worker, for all its tasks."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(sent.value)
-    return _SCORERS[key]
-
-
 def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with the probability of class 1 as column ``out``."""
+    prepare_python(docs.sparkSession)
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scorer(key, sent)(texts.tolist()))
+        return pd.Series(held(key, lambda: Scorer(sent.value))(texts.tolist()))
 
     return docs.withColumn(out, score(F.col(text_col)))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +51,42 @@ def discard(*tables: DataFrame | None) -> None:
         df._loom_path = None
 
 
-def lower_ascii(c: Column) -> Column:
-    """A-Z to a-z; every other character stays."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps from task to task: one object, of the operator that runs. The next operator's replaces it,
+    so what earlier stages remembered does not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+#: Ids that are broadcast at most; beyond, the join shuffles.
+MAX_IDS = 1_000_000
+
+
+def small(ids: DataFrame, bound: int = MAX_IDS) -> DataFrame:
+    """A stored table of ids, marked for broadcast if it has at most ``bound`` rows."""
+    return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
+
+
+def prepare_python(spark: SparkSession, rows: int = 1000) -> None:
+    """For operators with Python code: the package goes to the workers once per application, which need not have it installed,
+    and whole texts go to them in batches of ``rows``, where the session has Spark's default of ten times that."""
+    context = spark.sparkContext
+    if getattr(context, "_loomgraph_shipped", None) is None:
+        package = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="loomgraph-")) / f"{package.name}-code.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"{package.name}/{f.relative_to(package)}")
+        context.addPyFile(str(target))
+        context._loomgraph_shipped = True
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def crc32_mod(id_col: Column, mod: int) -> Column:
