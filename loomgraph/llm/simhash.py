@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import discard, materialize
+from .util import discard, materialize, prepare_python, small
 
 #: Bytes with A-Z lowered and every ASCII white space made a blank.
 _NORM = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -59,6 +59,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, shingle: int = 3, *, text_col: str = "text", out: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed 64-bit column ``out``."""
 
+    prepare_python(docs.sparkSession)
+
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
@@ -88,8 +90,8 @@ def links(distinct: DataFrame, k: int = 2, pair_bucket: int = 64) -> DataFrame:
     if k not in (1, 2):
         raise ValueError("k must be 1 or 2")
     masks = _masks(k)
-    keyed = materialize(distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks]))
-                                        .alias("block", "value")), "simhash-blocks")
+    # Exploding again costs less than storing six rows for each.
+    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks])).alias("block", "value"))
     buckets = materialize(keyed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-buckets")
     met = keyed.join(buckets, ["block", "value"])
     near = met.where(F.col("n") <= pair_bucket)
@@ -100,7 +102,6 @@ def links(distinct: DataFrame, k: int = 2, pair_bucket: int = 64) -> DataFrame:
     flips = F.array(*[F.array(*[F.lit(_signed(1 << b)) for b in free]) for _, free in masks])
     crowd = met.where(F.col("n") > pair_bucket).select("block", "value", "fp", F.explode(F.concat(
         F.array("fp"), F.transform(F.get(flips, F.col("block")), lambda f: F.col("fp").bitwiseXOR(f)))).alias("point"))
-    crowd = materialize(crowd, "simhash-points")
     if k == 2:
         heads = crowd.groupBy("block", "point").agg(F.min("fp").alias("head"), F.max("fp").alias("tail")).where("head < tail").select("block", "point", "head")
     else:  # at distance 1, one of the two is a point of the other
@@ -108,7 +109,7 @@ def links(distinct: DataFrame, k: int = 2, pair_bucket: int = 64) -> DataFrame:
     stars = (crowd.join(heads, ["block", "point"]).where("fp > head")
              .where(f"bit_count(fp ^ head) <= {k}").select(F.col("head").alias("a"), F.col("fp").alias("b")))
     out = materialize(pairs.unionByName(stars).distinct(), "simhash-links")
-    discard(keyed, buckets, crowd)
+    discard(buckets)
     return out
 
 
@@ -129,44 +130,56 @@ def near_duplicates(docs: DataFrame, k: int = 2, shingle: int = 3, *, id_col: st
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The sixteen bytes of a 128-bit fingerprint, in three sets; two untouched bytes of one set bring a pair together.
-_SETS = (range(0, 5), range(5, 10), range(10, 16))
+#: The sixteen bytes of a 128-bit fingerprint, in two sets; two untouched bytes of one set bring a pair together.
+_SETS = (range(0, 8), range(8, 16))
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, int]:
-    """The 128-bit SimHash of a text's word shingles, as two signed 64-bit halves."""
+def shingle_set(text: str | None, shingle: int = 5) -> set[bytes]:
     words = text.encode("utf-8", "surrogatepass").translate(_NORM).split() if text else []
-    if not words:
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
+    """Jaccard similarity of the sets of word shingles; two texts without words are equal."""
+    x, y = shingle_set(a, shingle), shingle_set(b, shingle)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, int]:
+    """The 128-bit SimHash of the set of a text's word shingles, as two signed 64-bit halves."""
+    found = shingle_set(text, shingle)
+    if not found:
         return 0, 0
-    digest = xxhash.xxh3_128_digest
-    n = max(1, len(words) - shingle + 1)
-    joined = memoryview(b" ".join(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    stops = (ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]).tolist()
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint8).reshape(-1, 16)
     total = np.zeros(128, np.int64)
-    for k in range(0, n, _SLAB):
-        h = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts[k : k + _SLAB], stops[k : k + _SLAB])]), np.uint8)
-        total += np.unpackbits(h.reshape(-1, 16), axis=1).sum(axis=0, dtype=np.int32)
-    f = np.packbits(total * 2 > n).view("<i8")
+    for k in range(0, len(h), _SLAB):
+        total += np.unpackbits(h[k : k + _SLAB], axis=1).sum(axis=0, dtype=np.int32)
+    f = np.packbits(total * 2 > len(h)).view("<i8")
     return int(f[0]), int(f[1])
 
 
-def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id",
-                   text_col: str = "text", pair_bucket: int = 64, heads: int = 16) -> DataFrame:
-    """(doc_id, component_id) for looser copies than near_duplicates() finds: at least ``min_similarity`` of 128 bits agree.
+def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text",
+                   max_distance: int = 36, pair_bucket: int = 32, heads: int = 4, first_heads: int = 6) -> DataFrame:
+    """(doc_id, component_id) for looser copies than near_duplicates() finds: a Jaccard similarity of at least ``min_similarity``.
 
-    At a similarity of 0.8 a proof by pigeonhole would need blocks of about five bits, which select nothing. So this
-    variant shares the blocks, the verification and the components, but not the guarantee: a pair is compared if two
-    bytes of one of three byte sets agree, which measured recall in the README is about. Buckets of more than
-    ``pair_bucket`` fingerprints compare each member with ``heads`` of them, by hash, and are joined through those;
-    no member is dropped.
+    Texts of similarity 0.8 differ in about one bit of seven, where a proof by pigeonhole would need blocks of a few
+    bits, which select nothing. So this variant shares the blocks, the verification and the components, but not the
+    guarantee: a pair is compared if two bytes of one of two byte sets agree (56 keys a fingerprint; three bytes and 112
+    keys beyond a million different fingerprints, four and 140 beyond 250 million, so that buckets stay small), and taken
+    if at most ``max_distance`` of 128 bits differ and the shingle sets themselves are as similar as asked. The README
+    has the measured recall. Buckets of more than ``pair_bucket`` fingerprints compare each member with ``heads`` of
+    them, by hash, and are joined through those; no member is dropped.
     """
+    prepare_python(docs.sparkSession)
 
     @F.pandas_udf("a long, b long")
     def simhash(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([wide_fingerprint(t, shingle) for t in texts], columns=["a", "b"], dtype="int64")
 
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similarity(a, b, shingle) >= min_similarity for a, b in zip(x, y)])
+
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialize(rows.withColumn("f", simhash("text")).select("doc_id", F.col("f.a").alias("f0"), F.col("f.b").alias("f1")), "simhash-wide")
     distinct = materialize(marked.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("id")), "simhash-wide-distinct")
@@ -174,25 +187,54 @@ def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int =
     def byte(i: int):
         return F.shiftrightunsigned(F.col(f"f{i // 8}"), 8 * (i % 8)).bitwiseAND(F.lit(255)).cast("int")
 
-    keys = [F.lit(n << 16).bitwiseOR(F.shiftleft(byte(i), 8)).bitwiseOR(byte(j))
-            for n, (i, j) in enumerate(p for s in _SETS for p in combinations(s, 2))]
-    keyed = materialize(distinct.select("id", "f0", "f1", F.explode(F.array(*keys)).alias("key")), "simhash-wide-keys")
-    buckets = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-wide-buckets")
-    met = keyed.join(buckets, "key")
-    most = int((1 - min_similarity) * 128 + 1e-9)
-    close = f"bit_count(x.f0 ^ y.f0) + bit_count(x.f1 ^ y.f1) <= {most}"
-    near = met.where(F.col("n") <= pair_bucket).drop("n")
-    pairs = near.alias("x").join(near.alias("y"), "key").where("x.id < y.id").where(close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    crowd = met.where(F.col("n") > pair_bucket).drop("n")
+    total = distinct.count()
+    width = 2 if total <= 1 << 20 else 3 if total <= 1 << 28 else 4
+    keys = []
+    for n, chosen in enumerate(p for s in _SETS for p in combinations(s, width)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            key = F.shiftleft(key, 8).bitwiseOR(byte(i).cast("long"))
+        keys.append(key)
+    keyed = lambda df: df.select(*df.columns, F.explode(F.array(*keys)).alias("key"))
+    buckets = materialize(keyed(distinct).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "f0", "f1")).alias("head")).where("n > 1"),
+                          "simhash-wide-buckets")
+    close = f"bit_count(x.f0 ^ y.f0) + bit_count(x.f1 ^ y.f1) <= {max_distance}"
+    ends = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) whose texts are as similar as asked; only texts that have a pair are moved."""
+        pairs = materialize(pairs.distinct(), f"{name}-pairs")
+        paired = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}-paired")
+        texts = materialize(rows.withColumnRenamed("doc_id", "id").join(small(paired), "id").groupBy("id").agg(F.min("text").alias("text")), f"{name}-texts")
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+        true = materialize(both.where(alike("x", "y")).select("a", "b"), f"{name}-links")
+        discard(pairs, paired, texts)
+        return true
+
+    # First each fingerprint meets heads of its buckets, those of the smallest ids, of which a large group has few. That joins
+    # most of such a group by few links, whose texts are compared; nothing is lost, as those still apart meet below.
+    heads_of = buckets.select("key", "head.*")
+    met = keyed(distinct).alias("x").join(heads_of.alias("y"), "key").where("x.id <> y.id").where(close)
+    least = met.groupBy(F.col("x.id").alias("id")).agg(F.slice(F.array_sort(F.collect_set("y.id")), 1, first_heads).alias("heads"))
+    links = least.select("id", F.explode("heads").alias("head")).select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    first = verified(links, "simhash-first")
+    label = connected_components(first)
+    known = materialize(distinct.join(label.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id")), "simhash-known")
+    # Then those of one bucket that are still apart meet each other.
+    met = keyed(known).join(buckets.select("key", "n"), "key")
+    near, crowd = met.where(F.col("n") <= pair_bucket).drop("n"), met.where(F.col("n") > pair_bucket).drop("n")
+    apart = f"x.label <> y.label and {close}"
+    pairs = near.alias("x").join(near.alias("y"), "key").where("x.id < y.id").where(apart).select(*ends)
     chosen = (crowd.groupBy("key", F.pmod(F.xxhash64("f0", "f1"), F.lit(heads)).alias("slot"))
-              .agg(F.min(F.struct("id", "f0", "f1")).alias("h")).select("key", "h.*"))
-    stars = crowd.alias("x").join(chosen.alias("y"), "key").where("x.id <> y.id").where(close).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    found = materialize(pairs.unionByName(stars).distinct(), "simhash-wide-links")
-    discard(keyed, buckets)
-    parts = connected_components(found)
+              .agg(F.min(F.struct("id", "f0", "f1", "label")).alias("h")).select("key", "h.*"))
+    stars = crowd.alias("x").join(chosen.alias("y"), "key").where(apart).select(*ends)
+    second = verified(pairs.unionByName(stars), "simhash-second")
+    true = materialize(first.unionByName(second), "simhash-links")
+    discard(buckets, first, second, known)
+    parts = connected_components(true)
     named = distinct.join(parts.select(F.col("node").alias("id"), "label"), "id", "left").select(
         "f0", "f1", F.coalesce("label", "id").alias("component_id"))
-    discard(found)
+    discard(true)
     return marked.join(named, ["f0", "f1"]).select("doc_id", "component_id")
 
 
@@ -202,7 +244,12 @@ def drop_near_duplicates(docs: DataFrame, min_similarity: float = 0.8, shingle:
 
     Of repeated rows of one id, one stays; rows of a null id stay as they are.
     """
-    groups = similar_groups(docs, min_similarity, shingle, id_col=id_col, text_col=text_col)
-    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    groups = materialize(similar_groups(docs, min_similarity, shingle, id_col=id_col, text_col=text_col), "simhash-groups")
+    gone = materialize(groups.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
+    twice = materialize(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "simhash-twice")
+    kept = docs.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    # Only rows of repeated ids have to meet.
+    again = F.col(id_col) == F.col("__twice")
+    return kept.join(small(twice), again, "left_anti").unionByName(kept.join(small(twice), again, "left_semi").dropDuplicates([id_col]))
