@@ -40,11 +40,14 @@ def test_columns(stages):
 
 def test_toxicity_stage(stages, spark):
     before, after = stages[0]
-    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
-    kept = {r["doc_id"] for r in after}
-    assert {r["doc_id"]: r for r in before}.items() >= {r["doc_id"]: r for r in after}.items()
-    clean = [r["doc_id"] for r in before if toxic.get(r["doc_id"]) == 0]
+    assert {(r["doc_id"], r["text"]) for r in after} <= {(r["doc_id"], r["text"]) for r in before}
+    # The smallest tables have a handful of toxic documents, too few to learn from; the next size has fifty.
+    more = DATA.replace("0.001", "0.01")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{more}/documents.parquet"), more).collect()}
+    labels = spark.read.parquet(f"{more}/labels.parquet").collect()
+    clean, toxic = ([r["doc_id"] for r in labels if r["toxic"] == c] for c in (0, 1))
     assert sum(d in kept for d in clean) >= 0.97 * len(clean)
+    assert sum(d in kept for d in toxic) <= 0.1 * len(toxic)
 
 
 def test_line_stage(stages):
@@ -57,9 +60,9 @@ def test_line_stage(stages):
 def test_near_duplicate_stage(stages):
     before, after = stages[2]
     kept = {r["doc_id"] for r in after}
-    prints = {r["doc_id"]: simhash.wide_fingerprint(r["text"]) for r in before}
-    near = lambda a, b: sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(prints[a], prints[b])) <= 25
-    ids = sorted(prints)
+    sets = {r["doc_id"]: simhash.shingle_set(r["text"]) for r in before}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ids = sorted(sets)
     groups = {d: d for d in ids}
 
     def find(x):
