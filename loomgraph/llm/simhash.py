@@ -159,7 +159,7 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> tuple[int, int]:
 
 
 def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text",
-                   max_distance: int = 36, pair_bucket: int = 32, heads: int = 4, first_heads: int = 6) -> DataFrame:
+                   max_distance: int = 28, pair_bucket: int = 32, heads: int = 4, first_heads: int = 6) -> DataFrame:
     """(doc_id, component_id) for looser copies than near_duplicates() finds: a Jaccard similarity of at least ``min_similarity``.
 
     Texts of similarity 0.8 differ in about one bit of seven, where a proof by pigeonhole would need blocks of a few
