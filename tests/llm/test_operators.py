@@ -312,6 +312,26 @@ def test_a_large_group_of_near_copies_stays_one(make):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
 
 
+def far_copies(rng, count, words, changed):
+    """A text and copies with ``changed`` words replaced by new ones: similar to the text, not to each other."""
+    base = [f"w{rng.randint(0, 10**9)}" for _ in range(words)]
+    copies = []
+    for _ in range(count):
+        new = list(base)
+        for k in rng.sample(range(0, words - 8, 8), changed):
+            new[k + 4] = f"c{rng.randint(0, 10**9)}"
+        copies.append(" ".join(new))
+    return " ".join(base), copies
+
+
+def test_copies_of_an_original_with_the_largest_id(make):
+    base, copies = far_copies(random.Random(12), 400, 300, 5)
+    near = [simhash.similarity(base, c) for c in copies]
+    assert min(near) >= 0.8 and np.mean([simhash.similarity(a, b) >= 0.8 for a, b in combinations(copies[:40], 2)]) < 0.1
+    rows = [(k, c, "en", "s", 0) for k, c in enumerate([*copies, base])]
+    assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
