@@ -332,6 +332,26 @@ def test_copies_of_an_original_with_the_largest_id(make):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 600), st.integers(0, 2**32))
+def test_prefixes_of_similar_sets_meet_and_bounds_hold(n, seed):
+    """Nothing here depends on the number of documents, so the candidates are complete at every size."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    a = " ".join(words)
+    for k in rng.sample(range(n), rng.randint(0, n // 20)):
+        words[k] = f"c{rng.randint(0, 10**6)}"
+    b = " ".join(words)
+    (h, *_, p), (g, *_, q) = simhash.set_sketch(a), simhash.set_sketch(b)
+    common = np.sort(rng.sample(list(h), len(h) // 2)).astype(np.uint64)
+    parted = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(p, q))
+    assert parted <= len(np.setxor1d(h, g))
+    if simhash.similarity(a, b) >= 0.8:
+        assert parted <= 0.2 / 1.8 * (len(h) + len(g)) + 1e-6
+        for last in (None, common):
+            assert set(simhash.prefix(h, 0.8, last).tolist()) & set(simhash.prefix(g, 0.8, last).tolist())
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
