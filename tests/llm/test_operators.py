@@ -352,6 +352,16 @@ def test_prefixes_of_similar_sets_meet_and_bounds_hold(n, seed):
             assert set(simhash.prefix(h, 0.8, last).tolist()) & set(simhash.prefix(g, 0.8, last).tolist())
 
 
+def test_every_pair_just_above_the_threshold_is_found(make):
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        base, (copy,) = far_copies(rng, 1, 290, 6)
+        assert 0.8 <= simhash.similarity(base, copy) < 0.82
+        rows += [(2 * k, base, "en", "s", 0), (2 * k + 1, copy, "en", "s", 0)]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()) == list(range(0, 600, 2))
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
