@@ -89,14 +89,34 @@ def _permute_digits(d: str, key: bytes, tweak: str, back: bool) -> str:
     return str(feistel(int(d), 10 ** len(d), key, f"{tweak}{len(d)}", back)).zfill(len(d))
 
 
-def _card(s: str, key: bytes, back: bool) -> str | None:
-    d = _digits(s)
-    if not 13 <= len(d) <= 19 or not luhn_ok(d) or len(set(d)) == 1:
-        return None
-    body = _permute_digits(d[:-1], key, "card", back)
+def _is_card(d: str) -> bool:
+    return 13 <= len(d) <= 19 and luhn_ok(d) and len(set(d)) > 1
+
+
+def _card_map(s: str, key: bytes, back: bool) -> str:
+    body = _permute_digits(_digits(s)[:-1], key, "card", back)
     return _fill(s, body + str(-_luhn(body + "0") % 10))
 
 
+def _card_end(s: str) -> int | None:
+    """Where the card at the start of s ends: a whole run of digits goes first, then groups by one mark, then longer ends."""
+    ends = [m.start() for m in re.finditer(r"[ -]", s)] + [len(s)]
+    mark = s[ends[0] : ends[0] + 1]
+    even = max(e for e in ends if set(s[:e]) & {" ", "-"} <= {mark})
+    return next((e for e in (ends[0], even, *reversed(ends)) if _is_card(_digits(s[:e]))), None)
+
+
+def _card_in(s: str, key: bytes, back: bool) -> str | None:
+    """The card at the start of s mapped, without what follows it; walked until it would be found at the same place again."""
+    e = _card_end(s)
+    if e is None:
+        return None
+    new = _card_map(s[:e], key, back)
+    while _card_end(new + s[e:]) != e:
+        new = _card_map(new, key, back)
+    return new
+
+
 def _number(s: str, key: bytes, back: bool) -> str | None:
     d = _digits(s)
     if not 13 <= len(d) <= 19 or luhn_ok(d):
@@ -228,7 +248,7 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "ipv4": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4),
     "date": (r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?!\d)", _date),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    "card": (r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card),
+    "card": (r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card_in),
     "phone": (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)", _phone),
     "number": (r"(?<!\d)\d{13,19}(?!\d)", _number),
 }
@@ -252,13 +272,14 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
         for kind, (pattern, to) in _EACH.items():
             own = pattern.match(text, start)
             if own and (new := to(own[0], key, back)) is not None:
+                end = start + len(new) if kind == "card" else own.end()  # further digits can follow a card
                 break
         if new is None:
             pos = start + 1
             continue
         out += [text[at:start], new]
-        spans.append((start, own.end(), kind))
-        at = pos = own.end()
+        spans.append((start, end, kind))
+        at = pos = end
     return ("".join([*out, text[at:]]) if spans else text), spans
 
 
