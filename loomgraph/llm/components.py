@@ -1,8 +1,8 @@
 """Connected components of a graph given as an edge DataFrame.
 
-Min-label propagation with pointer jumping. Each round is one join, one
-partial+final aggregation and one self-join of the labels; rounds grow with
-the logarithm of the diameter. Every round is written to the shared folder,
+Min-label propagation with hooking and pointer jumping: whoever holds a label
+tells it the smallest one heard, then labels take over their labels' labels.
+The rounds are not capped; they end when no label moves. Every round is written to the shared folder,
 so nothing depends on executor-local state, and only a count returns to the
 driver.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .util import discard, materialize
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node id reachable from node.
 
     ``edges`` has two columns ``a`` and ``b`` of one orderable type. Nulls and
@@ -25,22 +25,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
                          .select("node", "label", F.lit(True).alias("moved")), "cc-labels")
-    for _ in range(max_rounds):
+    while True:
         heard = (both.join(labels.select(F.col("node").alias("b"), "label"), "b")
                  .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard")))
-        stepped = labels.select("node", "label").join(heard, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
+        told = materialize(labels.select("node", "label").join(heard, "node").select(
+            "node", F.col("label").alias("old"), F.least("label", "heard").alias("best")), "cc-told")
+        # Hooking: the label held takes over the smallest one that any of its holders heard.
+        hooked = told.groupBy(F.col("old").alias("node")).agg(F.min("best").alias("hook"))
+        near = materialize(told.join(hooked, "node", "left").select("node", F.least("best", "hook").alias("label"), "old"), "cc-near")
         # Pointer jumping: take over the label that one's label now has.
-        jumped = (stepped.join(labels.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
-                  .select("node", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
+        jumped = (near.join(near.select(F.col("node").alias("label"), F.col("label").alias("further")), "label", "left")
+                  .select("node", F.least("label", "further").alias("label"), "old")
                   .select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
         new = materialize(jumped, "cc-labels")
         moved = new.where("moved").limit(1).count()
-        discard(labels)
+        discard(labels, told, near)
         labels = new
         if not moved:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     discard(both)
     return labels.select("node", "label")

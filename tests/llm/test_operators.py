@@ -54,6 +54,12 @@ def test_components_of_chains_stars_and_loops(make):
     assert connected_components(make("a long, b long", [])).count() == 0
 
 
+def test_components_of_a_chain_whose_smallest_node_is_last(make):
+    chain = [*range(1, 200), 0]
+    got = connected_components(make("a long, b long", list(zip(chain, chain[1:]))))
+    assert {r["node"]: r["label"] for r in got.collect()} == dict.fromkeys(chain, 0)
+
+
 # --- language -----------------------------------------------------------------------------------------------------
 
 
