@@ -286,15 +286,20 @@ def drop_near_duplicates(docs: DataFrame, min_similarity: float = 0.8, shingle:
                          text_col: str = "text") -> DataFrame:
     """docs with the document of the smallest id of each group of near-duplicates, in the input's columns.
 
-    Of repeated rows of one id, one stays; rows of a null id stay as they are.
+    Of rows of one id with similar texts, one stays, and rows of it with other texts are decided on by themselves; rows of
+    a null id stay as they are.
     """
-    groups = similar_groups(docs, min_similarity, shingle, id_col=id_col, text_col=text_col)
-    groups = materialize(groups.select("doc_id", F.col("label.id").alias("component_id")), "simhash-groups")
-    gone = materialize(groups.where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    twice = materialize(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "simhash-twice")
-    kept = docs.join(small(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    groups = materialize(similar_groups(docs, min_similarity, shingle, id_col=id_col, text_col=text_col).where("doc_id is not null"), "simhash-groups")
+    twice = materialize(groups.groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "simhash-twice")
+    gone = groups.where("struct(doc_id, f0, f1) <> label").select(F.col("doc_id").alias("__gone"), F.col("f0").alias("__g0"), F.col("f1").alias("__g1")).distinct()
+    gone = materialize(gone, "simhash-gone")
+    of, again = F.col(id_col) == F.col("__gone"), F.col(id_col) == F.col("__twice")
     if not twice.limit(1).count():
-        return kept
-    # Only rows of repeated ids have to meet.
-    again = F.col(id_col) == F.col("__twice")
-    return kept.join(small(twice), again, "left_anti").unionByName(kept.join(small(twice), again, "left_semi").dropDuplicates([id_col]))
+        return docs.join(small(gone), of, "left_anti")
+    # Only rows of repeated ids have to meet, and to be told apart by their texts.
+    once = gone.join(small(twice), F.col("__gone") == F.col("__twice"), "left_anti").select("__gone")
+    kept = docs.join(small(twice), again, "left_anti").join(once, of, "left_anti")
+    told = docs.join(small(twice), again, "left_semi").withColumn("__f", _sketched(shingle, min_similarity)(text_col))
+    told = told.withColumns({"__f0": F.col("__f.f0"), "__f1": F.col("__f.f1")}).join(
+        small(gone), of & (F.col("__f0") == F.col("__g0")) & (F.col("__f1") == F.col("__g1")), "left_anti")
+    return kept.unionByName(told.dropDuplicates([id_col, "__f0", "__f1"]).select(*docs.columns))

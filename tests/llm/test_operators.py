@@ -360,6 +360,14 @@ def test_copies_of_an_original_with_the_largest_id(make):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
 
 
+def test_an_id_with_different_texts(make):
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 200) for _ in range(3))
+    rows = [(1, a), (5, near_copy(rng, a, 0.004)), (5, b), (7, b), (8, c), (8, c), (8, a)]
+    out = simhash.drop_near_duplicates(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows]))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, a), (5, b), (8, c)])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 600), st.integers(0, 2**32))
 def test_prefixes_of_similar_sets_meet_and_bounds_hold(n, seed):
