@@ -128,178 +128,3 @@ def near_duplicates(docs: DataFrame, k: int = 2, shingle: int = 3, *, id_col: st
     of = named.join(smallest, "label").select("fp", "component_id")
     discard(found)
     return marked.join(of, "fp").select("doc_id", "fp", "component_id")
-
-
-def shingle_set(text: str | None, shingle: int = 5) -> set[bytes]:
-    words = text.encode("utf-8", "surrogatepass").translate(_NORM).split() if text else []
-    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
-
-
-def similarity(a: str | None, b: str | None, shingle: int = 5) -> float:
-    """Jaccard similarity of the sets of word shingles; two texts without words are equal."""
-    x, y = shingle_set(a, shingle), shingle_set(b, shingle)
-    return len(x & y) / len(x | y) if x or y else 1.0
-
-
-_PARTS = [f"s{k}" for k in range(8)]
-
-
-def set_sketch(text: str | None, shingle: int = 5) -> tuple[np.ndarray, int, int, list[int]]:
-    """(hashes, f0, f1, parts) of the set of a text's word shingles: its 64-bit hashes in ascending order, the 128-bit
-    hash of all of them, and 512 bits, each the parity of the hashes that fall on it, as signed 64-bit numbers."""
-    found = shingle_set(text, shingle)
-    h = np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found)))
-    f = np.frombuffer(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()), "<i8") if found else (0, 0)
-    odd = np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1
-    return h, int(f[0]), int(f[1]), np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
-
-
-def prefix(hashes: np.ndarray, min_similarity: float, common: np.ndarray | None = None) -> np.ndarray:
-    """The first hashes of a set in an order all sets share, so many that two sets as similar as asked have one of theirs in common.
-
-    Such sets have at least ``min_similarity`` of each in common, so the first common one has at most the rest before it.
-    The order is that of the hashes, those in ``common`` (ascending) last.
-    """
-    n = len(hashes)
-    if common is not None and len(common):
-        last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-        hashes = np.concatenate((hashes[~last], hashes[last]))
-    return hashes[: n - int(np.ceil(min_similarity * n - 1e-9)) + 1]
-
-
-def _sketched(shingle: int, min_similarity: float, common=None):
-    """The UDF of set_sketch() and prefix(): f0, f1, n, keys, s0 .. s7."""
-
-    @F.pandas_udf("f0 long, f1 long, n int, keys array<long>, " + ", ".join(f"{p} long" for p in _PARTS))
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            h, f0, f1, parts = set_sketch(t, shingle)
-            rows.append((f0, f1, len(h), prefix(h, min_similarity, None if common is None else common.value).view(np.int64), *parts))
-        return pd.DataFrame(rows, columns=["f0", "f1", "n", "keys", *_PARTS])
-
-    return sketch
-
-
-def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text",
-                   pair_bucket: int = 1024, first_heads: int = 6, common_over: int = 256, max_common: int = 1 << 16) -> DataFrame:
-    """(doc_id, f0, f1, label) for looser copies than near_duplicates() finds: a Jaccard similarity of at least ``min_similarity``.
-
-    Texts of similarity 0.8 differ in about one fingerprint bit of seven, where a proof by pigeonhole would need blocks of
-    a few bits, which select nothing. The proof here is over the shingle sets themselves: ordered by their hashes, two sets
-    as similar as asked share one of the first fifth of each (prefix()), whatever the number of documents. Hashes of more
-    than ``common_over`` sets (the ``max_common`` most frequent) are put last in the order, which changes the work, not
-    the result. Of the sets that share a key, those go on whose sizes and parities do not exclude the similarity, and
-    the exact similarity of the texts decides. No pair is left out but those that are connected already: each set first
-    meets the head of each of its keys, the set whose keys are the most frequent (in a group of copies, the original);
-    then those of one key that are still apart meet all others, in blocks of about ``pair_bucket``.
-
-    f0 and f1 are the hash of the row's shingle set, label the (id, f0, f1) of the smallest id of the group.
-    """
-    spark = docs.sparkSession
-    prepare_python(spark)
-    numbers = ["n", *_PARTS]
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = _sketched(shingle, min_similarity)
-    marked = materialize(rows.withColumn("f", sketch("text")).select("doc_id", "f.*"), "similar-sets")
-    distinct = materialize(
-        marked.where("doc_id is not null").groupBy("f0", "f1").agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in (*numbers, "keys")])
-        .withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(a, b, shingle) >= min_similarity for a, b in zip(x, y)])
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """(node, id, f0, f1, text): only texts of the given nodes are moved; rows of one id can have different texts."""
-        named = materialize(distinct.join(small(nodes), "node", "left_semi").select("node", "id", "f0", "f1"), "similar-named")
-        wanted = rows.withColumnRenamed("doc_id", "id").join(small(named.select("id").distinct()), "id", "left_semi")
-        read = wanted.withColumn("f", sketch("text")).select("id", "f.f0", "f.f1", "text")
-        out = materialize(named.join(read, ["id", "f0", "f1"]).groupBy("node").agg(F.min("text").alias("text")), "similar-texts")
-        discard(named)
-        return out
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose texts are as similar as asked."""
-        pairs = materialize(pairs.distinct(), "similar-pairs")
-        paired = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "similar-paired")
-        texts = texts_of(paired)
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        true = materialize(both.where(alike("x", "y")).select("a", "b"), "similar-links")
-        discard(pairs, paired, texts)
-        return true
-
-    def counted(keys: DataFrame) -> DataFrame:
-        return materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "similar-buckets")
-
-    keyed = distinct.select("node", F.explode("keys").alias("key"))
-    buckets = counted(keyed)
-    often = [r["key"] for r in buckets.where(F.col("many") > common_over).orderBy(F.desc("many"), "key").limit(max_common).select("key").collect()]
-    if often:
-        # Only sets with such a key have another beginning in the new order.
-        common = spark.sparkContext.broadcast(np.sort(np.array(often, np.int64).view(np.uint64)))
-        frequent = F.broadcast(buckets.where(F.col("many") > common_over).select("key"))
-        moved = materialize(keyed.join(frequent, "key", "left_semi").select("node").distinct(), "similar-moved")
-        texts = texts_of(moved)
-        late = texts.select("node", F.explode(_sketched(shingle, min_similarity, common)("text")["keys"]).alias("key"))
-        new = materialize(keyed.join(small(moved), "node", "left_anti").unionByName(late), "similar-keyed")
-        discard(texts, moved, buckets)
-        keyed, buckets = new, counted(new)
-    met = materialize(keyed.join(buckets, "key"), "similar-met")
-    weight = met.groupBy("node").agg(F.sum("many").alias("weight"))
-    members = materialize(distinct.join(weight, "node").select("node", (F.col("weight") / F.size("keys")).alias("weight"), *numbers), "similar-members")
-    met = met.select("key", "node").join(members, "node")
-
-    # Both follow from the similarity: the sizes' ratio, and how many elements are in one set only, which parities that differ count at least.
-    parted = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in _PARTS)
-    possible = (f"least(x.n, y.n) >= {min_similarity!r}D * greatest(x.n, y.n) - 1e-6D and "
-                f"{parted} <= {(1 - min_similarity) / (1 + min_similarity)!r}D * (x.n + y.n) + 1e-6D")
-    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-
-    heads = met.groupBy("key").agg(F.max(F.struct("weight", "node", *numbers)).alias("h")).select("key", "h.*")
-    least = (met.alias("x").join(heads.alias("y"), "key").where("x.node <> y.node").where(possible)
-             .groupBy(F.col("x.node").alias("node")).agg(F.slice(F.sort_array(F.collect_set(F.struct("y.weight", "y.node")), False), 1, first_heads).alias("heads")))
-    first = verified(least.select("node", F.explode("heads.node").alias("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
-    label = connected_components(first)
-    known = materialize(met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-known")
-    # Of one key, all that are not in the head's group meet all others, unless one group has the whole bucket.
-    groups = (known.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.max(F.struct("weight", "node", "label"))["label"].alias("top"),
-                                       F.min("label").alias("low"), F.max("label").alias("high"))
-              .where("low < high").select("key", "top", F.ceil(F.col("many") / pair_bucket).cast("int").alias("blocks")))
-    apart = materialize(known.join(groups, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "similar-apart")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = apart.where("label <> top").withColumn("other", every).withColumnsRenamed({"block": "i", "other": "j"})
-    y = apart.withColumn("other", every).withColumnsRenamed({"block": "j", "other": "i"})
-    pairs = (x.alias("x").join(y.alias("y"), ["key", "i", "j"])
-             .where(f"x.label <> y.label and (y.label = y.top or x.node < y.node) and {possible}").select(*ends))
-    second = verified(pairs)
-    true = materialize(first.unionByName(second), "similar-links")
-    discard(buckets, first, second, known, members, apart)
-    parts = connected_components(true)
-    named = materialize(distinct.join(parts, "node", "left").select("id", "f0", "f1", F.coalesce("label", "node").alias("group")), "similar-named")
-    smallest = named.groupBy("group").agg(F.min(F.struct("id", "f0", "f1")).alias("label"))
-    discard(true)
-    return marked.select("doc_id", "f0", "f1").join(named.join(smallest, "group").select("f0", "f1", "label"), ["f0", "f1"])
-
-
-def drop_near_duplicates(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id",
-                         text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each group of near-duplicates, in the input's columns.
-
-    Of rows of one id with similar texts, one stays, and rows of it with other texts are decided on by themselves; rows of
-    a null id stay as they are.
-    """
-    groups = materialize(similar_groups(docs, min_similarity, shingle, id_col=id_col, text_col=text_col).where("doc_id is not null"), "simhash-groups")
-    twice = materialize(groups.groupBy(F.col("doc_id").alias("__twice")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__twice"), "simhash-twice")
-    gone = groups.where("struct(doc_id, f0, f1) <> label").select(F.col("doc_id").alias("__gone"), F.col("f0").alias("__g0"), F.col("f1").alias("__g1")).distinct()
-    gone = materialize(gone, "simhash-gone")
-    of, again = F.col(id_col) == F.col("__gone"), F.col(id_col) == F.col("__twice")
-    if not twice.limit(1).count():
-        return docs.join(small(gone), of, "left_anti")
-    # Only rows of repeated ids have to meet, and to be told apart by their texts.
-    once = gone.join(small(twice), F.col("__gone") == F.col("__twice"), "left_anti").select("__gone")
-    kept = docs.join(small(twice), again, "left_anti").join(once, of, "left_anti")
-    told = docs.join(small(twice), again, "left_semi").withColumn("__f", _sketched(shingle, min_similarity)(text_col))
-    told = told.withColumns({"__f0": F.col("__f.f0"), "__f1": F.col("__f.f1")}).join(
-        small(gone), of & (F.col("__f0") == F.col("__g0")) & (F.col("__f1") == F.col("__g1")), "left_anti")
-    return kept.unionByName(told.dropDuplicates([id_col, "__f0", "__f1"]).select(*docs.columns))

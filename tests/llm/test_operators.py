@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomgraph.llm import chat, decontam, htmltext, langid, linedup, packing, pii, simhash, topk, toxicity
+from loomgraph.llm import chat, decontam, htmltext, langid, linedup, packing, pii, simhash, similar, topk, toxicity
 from loomgraph.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -324,7 +324,7 @@ def test_dropping_near_duplicates(make):
     clean = [sentence(rng, rng.randint(40, 400)) for _ in range(60)]
     copies = [(100 + k, near_copy(rng, clean[k], 0.005)) for k in range(30)] + [(200 + k, clean[k]) for k in range(30)]
     rows = [(k, t) for k, t in enumerate(clean)] + copies + [(300, ""), (301, None), (302, ""), (5, clean[5]), (None, "a"), (None, "a")]
-    out = simhash.drop_near_duplicates(clash(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows])))
+    out = similar.drop_near_duplicates(clash(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows])))
     kept = [r["doc_id"] for r in out.collect()]
     assert set(range(60)) <= set(kept) and kept.count(5) == 1
     assert kept.count(None) == 2
@@ -337,7 +337,7 @@ def test_a_large_group_of_near_copies_stays_one(make):
     rng = random.Random(2)
     base = sentence(rng, 300)
     rows = [(k, near_copy(rng, base, 0.004), "en", "s", 0) for k in range(300)]
-    assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
+    assert [r["doc_id"] for r in similar.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
 
 
 def far_copies(rng, count, words, changed):
@@ -354,22 +354,22 @@ def far_copies(rng, count, words, changed):
 
 def test_copies_of_an_original_with_the_largest_id(make):
     base, copies = far_copies(random.Random(12), 400, 300, 5)
-    near = [simhash.similarity(base, c) for c in copies]
-    assert min(near) >= 0.8 and np.mean([simhash.similarity(a, b) >= 0.8 for a, b in combinations(copies[:40], 2)]) < 0.1
+    near = [similar.similarity(base, c) for c in copies]
+    assert min(near) >= 0.8 and np.mean([similar.similarity(a, b) >= 0.8 for a, b in combinations(copies[:40], 2)]) < 0.1
     rows = [(k, c, "en", "s", 0) for k, c in enumerate([*copies, base])]
-    assert [r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
+    assert [r["doc_id"] for r in similar.drop_near_duplicates(make(DOCS, rows)).collect()] == [0]
 
 
 def test_an_id_with_different_texts(make):
     rng = random.Random(4)
     a, b, c = (sentence(rng, 200) for _ in range(3))
     rows = [(1, a), (5, near_copy(rng, a, 0.004)), (5, b), (7, b), (8, c), (8, c), (8, a)]
-    out = simhash.drop_near_duplicates(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows]))
+    out = similar.drop_near_duplicates(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows]))
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([(1, a), (5, b), (8, c)])
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 600), st.integers(0, 2**32))
+@given(st.integers(1, 1400), st.integers(0, 2**32))
 def test_prefixes_of_similar_sets_meet_and_bounds_hold(n, seed):
     """Nothing here depends on the number of documents, so the candidates are complete at every size."""
     rng = random.Random(seed)
@@ -378,14 +378,19 @@ def test_prefixes_of_similar_sets_meet_and_bounds_hold(n, seed):
     for k in rng.sample(range(n), rng.randint(0, n // 20)):
         words[k] = f"c{rng.randint(0, 10**6)}"
     b = " ".join(words)
-    (h, *_, p), (g, *_, q) = simhash.set_sketch(a), simhash.set_sketch(b)
+    (h, _, _, p, x), (g, _, _, q, y) = similar.set_sketch(a), similar.set_sketch(b)
     common = np.sort(rng.sample(list(h), len(h) // 2)).astype(np.uint64)
-    parted = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(p, q))
+    fold = lambda bits, size: bits if len(bits) <= size else bits[:size] ^ bits[size:]
+    both = min(len(x), len(y))
+    coarse = sum(((x ^ y) % (1 << 64)).bit_count() for x, y in zip(p, q))
+    fine = int(np.bitwise_count((fold(x, both) ^ fold(y, both)).view(np.uint64)).sum()) if both else 0
+    parted = max(coarse, fine)
     assert parted <= len(np.setxor1d(h, g))
-    if simhash.similarity(a, b) >= 0.8:
+    assert [len(x) > 0, len(y) > 0] == [len(h) > 512, len(g) > 512]
+    if similar.similarity(a, b) >= 0.8:
         assert parted <= 0.2 / 1.8 * (len(h) + len(g)) + 1e-6
         for last in (None, common):
-            assert set(simhash.prefix(h, 0.8, last).tolist()) & set(simhash.prefix(g, 0.8, last).tolist())
+            assert set(similar.prefix(h, 0.8, last).tolist()) & set(similar.prefix(g, 0.8, last).tolist())
 
 
 def test_every_pair_just_above_the_threshold_is_found(make):
@@ -393,9 +398,9 @@ def test_every_pair_just_above_the_threshold_is_found(make):
     rows = []
     for k in range(300):
         base, (copy,) = far_copies(rng, 1, 290, 6)
-        assert 0.8 <= simhash.similarity(base, copy) < 0.82
+        assert 0.8 <= similar.similarity(base, copy) < 0.82
         rows += [(2 * k, base, "en", "s", 0), (2 * k + 1, copy, "en", "s", 0)]
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(make(DOCS, rows)).collect()) == list(range(0, 600, 2))
+    assert sorted(r["doc_id"] for r in similar.drop_near_duplicates(make(DOCS, rows)).collect()) == list(range(0, 600, 2))
 
 
 # --- decontamination ----------------------------------------------------------------------------------------------
@@ -674,3 +679,15 @@ def test_pages(make, model):
     texts = sorted((r["page_id"], r["text"]) for r in got.collect())
     assert texts[0] == texts[1] and texts[2:] == [(2, ""), (3, ""), (4, "just text")]
     assert htmltext.extract_pages(make("page_id long, url string, html string", []), model).count() == 0
+
+
+def test_fine_bits_of_long_texts_tell_pairs(make):
+    """Long texts that share a passage but are not similar, and copies of them, one in each size of bits."""
+    rng = random.Random(5)
+    word = lambda n: [f"w{rng.randint(0, 10**7)}" for _ in range(n)]
+    passage, rows = word(500), []
+    for k in range(12):
+        own = word(rng.choice([700, 1400, 3000]))
+        rows += [(k, " ".join(own[:300] + passage + own[300:])), (100 + k, " ".join(own[:300] + passage + own[300:] + word(len(own) // 8)))]
+    kept = {r["doc_id"] for r in similar.drop_near_duplicates(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows])).collect()}
+    assert kept == set(range(12))
