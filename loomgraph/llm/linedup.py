@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import discard, materialize
+from .util import discard, materialize, small
 
 _DOC = ["d", "u"]
 
@@ -89,7 +89,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, *, id_col: str = "doc_id
             "r.d", "r.u", "r.a", "r.n", "head", F.col("y.rank").alias("tail"))
         full = materialize(full, f"lines-full{k}")
         held.append(full)
+        # Stored before the join: the runs of a very common line then are a skewed side that adaptive execution splits.
         first = full.groupBy("n", "head", "tail").agg(F.min(F.struct("d", "u", "a")).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        first = materialize(first, f"lines-first{k}")
+        held.append(first)
         later.append(full.join(first, ["n", "head", "tail"]).where(F.struct("d", "u", "a") > F.col("first")).select("d", "u", "a", "n"))
         if 2 * reach > longest:
             break
@@ -120,11 +123,25 @@ def remove_repeated_runs(docs: DataFrame, min_words: int = 50, *, id_col: str =
     ``removed`` names a further column: the sorted numbers of the removed lines (empty if none).
     """
     later = repeated_runs(docs, min_words, id_col=id_col, text_col=text_col)
-    gone = (later.select(F.col("d").alias("__d"), F.col("u").alias("__u"), F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("ln"))
-            .groupBy("__d", "__u").agg(F.array_sort(F.collect_set("ln")).alias("__gone")))
-    joined = docs.join(gone, (F.col(id_col) == F.col("__d")) & (F.xxhash64(F.col(text_col)) == F.col("__u")), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(rest))
+    # The union of a document's runs as spans that do not touch.
+    doc = Window.partitionBy(*_DOC).orderBy("a", "e")
+    spans = (later.select(*_DOC, "a", (F.col("a") + F.col("n")).alias("e")).distinct()
+             .withColumn("reached", F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1)))
+             .withColumn("new", F.when(F.col("reached") >= F.col("a"), 0).otherwise(1)).withColumn("span", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+             .groupBy(*_DOC, "span").agg(F.min("a").alias("a"), F.max("e").alias("e")))
+    gone = materialize(spans.groupBy(F.col("d").alias("__d"), F.col("u").alias("__u")).agg(F.array_sort(F.collect_list(F.struct("a", "e"))).alias("__gone")), "lines-gone")
+    discard(later)
+    # Texts of documents that keep all their lines are not moved, if the others' ids can be broadcast.
+    of = (F.col(id_col) == F.col("__d")) & (F.xxhash64(F.col(text_col)) == F.col("__u"))
+    ids = small(materialize(gone.select("__d", "__u"), "lines-gone-ids"))
+    whole = docs.join(ids, of, "left_anti")
+    hit = docs.join(ids, of, "left_semi").join(gone, of).withColumn("__lines", F.split(F.col(text_col), "\n", -1))
+    # What stands between the spans; both ends are read from __lines, which the two uses keep from being split again for each.
+    ends = F.transform("__gone", lambda g: g["e"])
+    starts = F.transform("__gone", lambda g: g["a"])
+    rest = F.zip_with(F.concat(F.array(F.lit(0)), ends), F.concat(starts, F.array(F.size("__lines"))), lambda a, b: F.slice("__lines", a + 1, b - a))
+    hit = hit.withColumn(text_col, F.array_join(F.flatten(rest), "\n"))
     if removed:
-        out = out.withColumn(removed, F.coalesce("__gone", F.array().cast("array<int>")))
-    return out.drop("__d", "__u", "__gone")
+        hit = hit.withColumn(removed, F.flatten(F.transform("__gone", lambda g: F.sequence(g["a"], g["e"] - 1))))
+        whole = whole.withColumn(removed, F.array().cast("array<int>"))
+    return whole.unionByName(hit.drop("__d", "__u", "__gone", "__lines"))
