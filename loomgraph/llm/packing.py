@@ -35,7 +35,8 @@ class Encoder:
     """Token ids of a text as little-endian uint32 bytes, with the words' ids remembered.
 
     The tokenizer drops white space and never merges over it, so a text is encoded chunk by chunk; a chunk of one
-    word and closing marks is the word's ids and the marks' ids. Lower-casing first is left to texts of Latin-1,
+    word of Latin-1 letters and a closing mark is the word's ids and the mark's ids (not so with letters that the
+    normaliser takes apart, whose last part goes with the mark). Lower-casing first is left to texts of Latin-1,
     where it does what the tokenizer's own normaliser does. Everything else goes to the tokenizer itself.
     """
 
@@ -50,7 +51,7 @@ class Encoder:
     def _learn(self, chunk: str) -> bytes:
         known = self.known
         core = chunk[:-1]
-        if chunk[-1] in ".," and core.isalpha():
+        if chunk[-1] in ".," and core.isalpha() and max(core) < "\u0100":
             ids = (known.get(core) or self._learn(core)) + (known.get(chunk[-1]) or self._learn(chunk[-1]))
         elif chunk.isascii() and chunk.isalpha() and chunk.islower():
             ids = np.array([t.id for t in self.tokenizer.model.tokenize(chunk)], "<u4").tobytes()
@@ -231,19 +232,19 @@ def plan(histogram: dict[int, int], capacity: int = 4096, groups: int = 24, larg
     return np.array(out, np.int64).reshape(-1, 6)
 
 
-def assign(pieces: DataFrame, size: int = 4096, *, salt_rows: int = 100_000) -> DataFrame:
-    """pieces (a stored table with doc_id, piece, start, length) with sequence_id and offset; other columns stay."""
+def assign(pieces: DataFrame, size: int = 4096, *, salt_rows: int = 2000) -> DataFrame:
+    """pieces (a stored table with doc_id, piece, start, length and the random number __mixed) with sequence_id and offset;
+    other columns stay. Pieces of one length are ranked in groups of about ``salt_rows``, in whatever order they came."""
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan(histogram, size)
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     salts = max(1, -(-max(histogram.values(), default=1) // salt_rows))
-    others = [c for c in pieces.columns if c not in ("length", "piece")]
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("__salt", F.pmod("__mixed", F.lit(salts)))
     counts = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select("length", "__salt", (F.sum("__n").over(
         Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", *[c for c in others if c not in ("doc_id", "tokens")])
+    order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "__mixed")
     ranked = (salted.withColumn("__row", F.row_number().over(order) - 1).join(before, ["length", "__salt"])
               .withColumn("__rank", F.col("__row") + F.col("__before")))
     sent = spark.sparkContext.broadcast(runs)  # at most some ten thousand runs, however many pieces there are
@@ -253,24 +254,23 @@ def assign(pieces: DataFrame, size: int = 4096, *, salt_rows: int = 100_000) ->
         r = sent.value
         lows = np.searchsorted(r[:, 0], np.arange(size + 2))
         l, k = length.to_numpy(), rank.to_numpy()
-        key = r[:, 0].astype(np.float64)
         at = np.empty(len(l), np.int64)
         for one in np.unique(l):
             own = l == one
             a, b = lows[one], lows[one + 1]
             at[own] = a + np.searchsorted(r[a:b, 1], k[own], side="right") - 1
-        del key
         nth = k - r[at, 1]
         each = r[at, 4]
         return pd.DataFrame({"sequence_id": r[at, 3] + nth // each, "offset": r[at, 5] + nth % each * l})
 
     placed = ranked.withColumn("__at", place("length", "__rank"))
-    return placed.select(*pieces.columns, F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
+    return placed.select(*[c for c in pieces.columns if c != "__mixed"], F.col("__at.sequence_id").alias("sequence_id"), F.col("__at.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, *, id_col: str = "doc_id",
                    text_col: str = "text", keep_tokens: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, [tokens,] ids_crc32, sequence_id, offset) for every piece of every document."""
     pieces = encode_pieces(docs, tokenizer_path, size, end_id, id_col=id_col, text_col=text_col)
-    pieces = pieces.withColumn("ids_crc32", F.crc32("tokens"))
+    # Rows that are equal in all else have different numbers, so a thousand copies of a row are spread as well.
+    pieces = pieces.withColumn("ids_crc32", F.crc32("tokens")).withColumn("__mixed", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()))
     return assign(materialize(pieces if keep_tokens else pieces.drop("tokens"), "pack-pieces"), size)

@@ -594,6 +594,13 @@ def test_encoder_is_the_tokenizer(text):
 test_encoder_is_the_tokenizer.t = Tokenizer.from_file(PATH)
 
 
+def test_encoder_for_every_letter_before_a_mark():
+    encode, plain = packing.Encoder(PATH), lambda t: test_encoder_is_the_tokenizer.t.encode(t, add_special_tokens=False).ids
+    letters = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    for chunk in [f"{c}{mark}" for c in letters for mark in ".,"] + ["TARİHİ,", "ab\u0958.", "İ."]:
+        assert np.frombuffer(encode(chunk), "<u4").tolist() == plain(chunk), chunk
+
+
 def test_packing(make):
     rng = random.Random(11)
     texts = [sentence(rng, rng.choice([0, 1, 5, 40, 300])) for _ in range(150)] + [None, "", "don't <|endoftext|> it's", sentence(rng, 2500), "a " * 9000, "Hello,World. x.,y"]
@@ -619,7 +626,7 @@ def test_packing(make):
 
 
 def test_ranks_with_salts(make):
-    pieces = make("doc_id long, piece int, start long, length long", [(k, 0, 0, 1 + k % 3) for k in range(500)])
+    pieces = make("doc_id long, piece int, start long, length long, __mixed long", [(k // 300, 0, 0, 1 + k % 3, k * 7919) for k in range(500)])
     placed = packing.assign(pieces, 8, salt_rows=20).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in placed}) == 500
 
