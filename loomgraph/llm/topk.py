@@ -2,14 +2,16 @@
 
 Vectors are integers. A shard of up to ``shard_rows`` of them is indexed by
 its postings (vector, dimension, value), cut into segments of one quantised
-impact, the magnitude of the value, and stored from the highest impact down.
-A block of queries is answered score at a time: segments are added to the
-accumulators by descending impact. What a vector has not shown yet is at most
-the next impact in each of its open dimensions, so after every segment there
-is a lower and an upper bound of each score; processing stops only when the
-bounds prove that few vectors can still be members, and those are rescored
-exactly. If nothing can be proved early, the segments run out, and the
-accumulators are the scores.
+impact, the magnitude of the value rounded up to a power of two, and stored
+from the highest impact down. With each segment goes what is then left of
+every vector, as the length of its remaining part. A block of queries is
+answered score at a time: segments are added to the accumulators by descending
+impact. What a vector has not shown yet is at most the length of the query
+times the length of what is left of it, so after every segment, from the first
+on, there is a lower and an upper bound of each score. Processing stops only
+when the bounds, and the exact scores of the shards before, prove that few
+vectors can still be members; those are rescored exactly. If nothing can be
+proved early, the segments run out, and the accumulators are the scores.
 
 Shards are built where the rows are, without a shuffle, and stored in the
 shared folder. Queries are broadcast in blocks of a fixed size; each task
@@ -17,13 +19,15 @@ keeps the best k of a query over all its shards before anything is shuffled.
 
 Defined cases: vectors that are null, or have a null or non-finite component,
 take no part, nor do rows of a null id; vectors meet only vectors of their
-length; scaled components saturate at +-2^20; a query's own row is left out,
-other rows of its id are not; ties go to the smaller id.
+length; a query's own row is left out, other rows of its id are not; ties go
+to the smaller id. Nothing saturates: a scaled component or a score of the
+result that does not fit into 64 bits is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pandas as pd
@@ -32,101 +36,131 @@ from pyspark.sql import functions as F
 
 from .util import materialize, prepare_python
 
-INDEX = "dims int, n int, ids binary, rows binary, levels binary, counts binary, docs binary, columns binary, values binary"
+INDEX = "dims int, n int, ids binary, rows binary, counts binary, rests binary, docs binary, columns binary, values binary"
 HITS = "query_row long, query_id long, vec_id long, score long"
-_LIMIT = 1 << 20
 
 
 def scaled(vectors: DataFrame, factor: int = 256, *, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(row, vec_id, v): floor(factor * x) of each component; the rows that take part, numbered and stored."""
     x = F.col(vector_col).cast("array<double>")
     sound = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), c)) * factor))).cast("int"))
+    v = F.transform(x, lambda c: F.when(F.abs(c * factor) < 2.0**63, F.floor(c * factor)).otherwise(
+        F.raise_error(F.lit("a scaled component does not fit into 64 bits")).cast("long")))
     rows = vectors.where(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     return materialize(rows.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
 
 
-def _shard(ids: list[int], rows: list[int], m: np.ndarray, width: int) -> tuple:
-    size = np.abs(m)
-    impact = -(-size // width)
+def _shard(ids: list[int], rows: list[int], m: np.ndarray) -> tuple:
     doc, column = np.nonzero(m)
-    own = impact[doc, column]
-    order = np.argsort(-own, kind="stable")
-    levels, counts = np.unique(-own, return_counts=True)
-    doc, column = doc[order], column[order]
-    return (m.shape[1], len(m), np.array(ids, "<i8").tobytes(), np.array(rows, "<i8").tobytes(), (-levels * width).astype("<i4").tobytes(),
-            counts.astype("<i4").tobytes(), doc.astype("<i4").tobytes(), column.astype("<i4").tobytes(), m[doc, column].astype("<i4").tobytes())
-
-
-def build_index(vectors: DataFrame, *, shard_rows: int = 8192, width: int = 12) -> DataFrame:
-    """The stored index of scaled() vectors, one row per shard; ``width`` is the quantisation of impacts."""
+    value = m[doc, column]
+    impact = np.frexp(np.abs(value.astype(np.float64)))[1]
+    order = np.argsort(-impact, kind="stable")
+    _, counts = np.unique(-impact, return_counts=True)
+    doc, column, value = doc[order], column[order], value[order]
+    # The squares of what is left of each vector, after each segment.
+    rests, ends = np.zeros((len(counts), len(m))), np.cumsum(counts)
+    for s in range(len(counts) - 1, 0, -1):
+        part = slice(ends[s - 1], ends[s])
+        rests[s - 1] = rests[s] + np.bincount(doc[part], value[part].astype(np.float64) ** 2, len(m))
+    return (m.shape[1], len(m), np.array(ids, "<i8").tobytes(), np.array(rows, "<i8").tobytes(), counts.astype("<i4").tobytes(),
+            np.sqrt(rests).astype("<f8").tobytes(), doc.astype("<i4").tobytes(), column.astype("<i4").tobytes(), value.astype("<i8").tobytes())
+
+
+def build_index(vectors: DataFrame, *, shard_rows: int = 8192) -> DataFrame:
+    """The stored index of scaled() vectors, one row per shard."""
     columns = [c.split()[0] for c in INDEX.split(", ")]
     prepare_python(vectors.sparkSession)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: dict[int, list] = {}
+        made = lambda held: pd.DataFrame([_shard([x[0] for x in held], [x[1] for x in held], np.array([x[2] for x in held], np.int64))], columns=columns)
         for pdf in batches:
             for r, i, v in zip(pdf["row"], pdf["vec_id"], pdf["v"]):
                 held = open_.setdefault(len(v), [])
                 held.append((i, r, v))
                 if len(held) == shard_rows:
-                    yield pd.DataFrame([_shard([x[0] for x in held], [x[1] for x in held], np.array([x[2] for x in held], np.int64), width)], columns=columns)
+                    yield made(held)
                     held.clear()
         for held in open_.values():
             if held:
-                yield pd.DataFrame([_shard([x[0] for x in held], [x[1] for x in held], np.array([x[2] for x in held], np.int64), width)], columns=columns)
+                yield made(held)
 
     return materialize(vectors.select("row", "vec_id", "v").mapInPandas(build, INDEX), "topk-index")
 
 
-def _search(shard, queries: np.ndarray, query_rows: np.ndarray, k: int, least: np.ndarray, few: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the (positions, exact scores) of all that can be among the best k of this shard and reach ``least``."""
-    n, dims = shard.n, shard.dims
-    take = lambda x, kind: np.frombuffer(x, kind)
-    levels, counts = take(shard.levels, "<i4"), take(shard.counts, "<i4")
-    doc, column, value = take(shard.docs, "<i4"), take(shard.columns, "<i4"), take(shard.values, "<i4")
-    own = take(shard.rows, "<i8")
-    full = np.zeros((n, dims), np.int64)
-    full[doc, column] = value
-    biggest = float(np.abs(queries).max(initial=0)) * float(np.abs(value).max(initial=0)) * dims
-    kind = np.float32 if biggest < 1 << 23 else np.float64
-    q = queries.T.astype(kind)
-    weight = np.abs(q)
-    score = np.zeros((n, q.shape[1]), kind)
-    open_ = np.broadcast_to(weight.sum(0), score.shape).copy()  # what the query has in dimensions not seen yet
-    place = {int(r): p for p, r in enumerate(own)}
-    for j, r in enumerate(query_rows):
-        if (p := place.get(int(r))) is not None:
-            score[p, j], open_[p, j] = -np.inf, 0
-    ends = np.cumsum(counts)
-    best = np.arange(n)[:, None] if n <= k else None
-    possible = np.ones(score.shape, bool)
-    for s, end in enumerate(ends):
-        part = slice(end - counts[s], end)
-        block = np.zeros((n, dims), kind)
-        block[doc[part], column[part]] = value[part]
-        score += block @ q
-        open_ -= (block != 0).astype(kind) @ weight
-        if s < len(ends) // 2 and s + 1 < len(ends):
-            continue  # bounds are too wide to prove anything this early
-        rest = open_ * kind(levels[s + 1] if s + 1 < len(ends) else 0)
-        floor = np.maximum(np.partition(score - rest, n - k, axis=0)[n - k], least) if n > k else np.full(q.shape[1], -np.inf)
-        possible = score + rest >= floor
-        if possible.sum(0).max() <= few:
-            break
-    del best
-    out = []
-    for j in range(q.shape[1]):
-        at = np.flatnonzero(possible[:, j] & np.isfinite(score[:, j]))
-        out.append((at, full[at] @ queries[j]))
-    return out
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = 5, *, block: int = 65_536, step: int = 256, few: int = 48) -> DataFrame:
+class _Shard:
+    """A shard as read, ready for any number of query batches."""
+
+    def __init__(self, stored):
+        take = lambda x, kind: np.frombuffer(x, kind)
+        self.n, self.dims = stored.n, stored.dims
+        self.ids, self.rows = take(stored.ids, "<i8"), take(stored.rows, "<i8")
+        counts = take(stored.counts, "<i4")
+        self.rests = take(stored.rests, "<f8").reshape(len(counts), self.n)
+        doc, column, value = take(stored.docs, "<i4"), take(stored.columns, "<i4"), take(stored.values, "<i8")
+        self.full = np.zeros((self.n, self.dims), np.int64)
+        self.full[doc, column] = value
+        self.largest = max(map(abs, (int(value.max(initial=0)), int(value.min(initial=0)))))
+        self.place = {int(r): p for p, r in enumerate(self.rows)}
+        # Each segment as its vectors and their rows of it; the highest impacts are those of few vectors.
+        self.segments, ends = [], np.cumsum(counts)
+        for s, end in enumerate(ends):
+            part = slice(end - counts[s], end)
+            own, at = np.unique(doc[part], return_inverse=True)
+            self.segments.append((own, at, column[part], value[part]))
+
+    def segment(self, s: int, kind) -> tuple[np.ndarray, np.ndarray]:
+        own, at, column, value = self.segments[s]
+        block = np.zeros((len(own), self.dims), kind)
+        block[at, column] = value
+        return own, block
+
+    def possible(self, queries: np.ndarray, query_rows: np.ndarray, k: int, least: np.ndarray, share: float) -> tuple[np.ndarray, int]:
+        """Which vectors can be among the best k of this shard and reach ``least``, for each query; and the segments read."""
+        biggest = float(np.abs(queries.astype(np.float64)).max(initial=0)) * self.largest * self.dims
+        kind = np.float32 if biggest < 1 << 23 else np.float64
+        q = queries.T.astype(kind)
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
+        score = np.zeros((self.n, len(queries)), kind)
+        own = [(self.place[int(r)], j) for j, r in enumerate(query_rows) if int(r) in self.place]
+        found, read = np.ones(score.shape, bool), 0
+        for s in range(len(self.segments)):
+            at, block = self.segment(s, kind)
+            if len(at) == self.n:
+                score += block @ q
+            else:
+                score[at] += block @ q
+            read = s + 1
+            # A hair more than the bound, for rounding; integers below 2^23 and 2^52 are exact.
+            rest = (np.outer(self.rests[s] * 1.0001, length) + (biggest * 1e-9 if biggest >= 1 << 52 else 0)).astype(kind)
+            low = score - rest
+            for p, j in own:
+                low[p, j] = -np.inf
+            if self.n > k and not np.isfinite(least).all():
+                floor = np.maximum(np.partition(low, self.n - k, axis=0)[self.n - k], least.astype(kind))
+            else:
+                floor = least.astype(kind)
+            found = score + rest >= floor
+            if found.mean() <= share:
+                break
+        for p, j in own:
+            found[p, j] = False
+        return found, read
+
+    def scores(self, at: np.ndarray, query: np.ndarray) -> list[int]:
+        """The exact inner products."""
+        if float(np.abs(query.astype(np.float64)).max(initial=0)) * self.largest * self.dims < 2.0**62:
+            return (self.full[at] @ query).tolist()
+        exact = (self.full[at].astype(object) * query.astype(object)).sum(1).tolist() if len(at) else []
+        return [int(x) for x in exact]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 5, *, block: int = 16_384, step: int = 256, share: float = 1 / 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the best k of the index for every row of ``queries`` (row, vec_id, v).
 
-    Queries go out in blocks of at most ``block``, so a broadcast has a fixed bound; ``step`` queries share an
-    accumulator pass.
+    Queries go out in blocks of about ``block``, each answered and released before the next, so a broadcast has a fixed
+    bound; ``step`` queries share an accumulator pass. Segments are read until at most ``share`` of a shard's vectors can
+    be members.
     """
     spark = index.sparkSession
     total = queries.count()
@@ -141,21 +175,30 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, *, block: int = 65_
             by: dict[int, list] = {}
             for r in sent.value:
                 by.setdefault(len(r[2]), []).append(r)
-            sets = {d: [(np.array([r[0] for r in rs[a : a + step]], np.int64), [r[1] for r in rs[a : a + step]],
-                         np.array([r[2] for r in rs[a : a + step]], np.int64)) for a in range(0, len(rs), step)] for d, rs in by.items()}
+            sets = {d: [(np.array([r[0] for r in rs[a : a + step]], np.int64), np.array([r[2] for r in rs[a : a + step]], np.int64))
+                        for a in range(0, len(rs), step)] for d, rs in by.items()}
             best: dict[int, list[tuple[int, int]]] = {}
             for pdf in batches:
-                for shard in pdf.itertuples():
-                    ids = np.frombuffer(shard.ids, "<i8")
-                    for rows, _, q in sets.get(shard.dims, ()):
-                        least = np.array([best[r][-1][0] if len(best.get(r, ())) == k else -np.inf for r in rows.tolist()])
-                        least = -np.where(np.isinf(least), np.inf, least)
-                        for r, (at, score) in zip(rows.tolist(), _search(shard, q, rows, k, least, few)):
-                            best[r] = sorted(best.get(r, []) + list(zip((-score).tolist(), ids[at].tolist())))[:k]
+                for stored in pdf.itertuples():
+                    if stored.dims not in sets:
+                        continue
+                    shard = _Shard(stored)
+                    for rows, q in sets[stored.dims]:
+                        least = np.array([-float(best[r][-1][0]) if len(best.get(r, ())) == k else -np.inf for r in rows.tolist()])
+                        least = np.where(np.isfinite(least), least - np.abs(least) * 1e-12, least)
+                        found, _ = shard.possible(q, rows, k, least, share)
+                        for j, r in enumerate(rows.tolist()):
+                            at = np.flatnonzero(found[:, j])
+                            new = zip((-s for s in shard.scores(at, q[j])), shard.ids[at].tolist())
+                            best[r] = nsmallest(k, (*best.get(r, ()), *new))
             name = {r[0]: r[1] for r in sent.value}
-            yield pd.DataFrame([(r, name[r], i, -s) for r, hits in best.items() for s, i in hits], columns=["query_row", "query_id", "vec_id", "score"])
+            hits = [(r, name[r], i, -s) for r, own in best.items() for s, i in own]
+            if any(abs(h[3]) >= 1 << 63 for h in hits):
+                raise OverflowError("a score does not fit into 64 bits")
+            yield pd.DataFrame(hits, columns=["query_row", "query_id", "vec_id", "score"])
 
-        hits = index.mapInPandas(answer, HITS)
+        hits = materialize(index.mapInPandas(answer, HITS), "topk-hits")
+        sent.destroy()
         found = hits if found is None else found.unionByName(hits)
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

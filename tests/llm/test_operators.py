@@ -8,6 +8,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -229,10 +230,38 @@ def test_topk_is_exact(make, n, dims, shard):
     rows += [(1000, rows[0][1]), (1000, rows[0][1]), (50, rows[0][1]), (2000, None), (2001, []), (2002, [None] * dims), (2050, [float("nan")] * dims), (2100, [float("inf")] * dims), (None, rows[0][1]), (2150, [0.0] * dims), (2200, [1.0])]
     df = clash(make("vec_id long, embedding array<float>, label int", [(i, v, 0) for i, v in rows]))
     vectors = topk.scaled(df, 256)
-    got = topk.search(topk.build_index(vectors, shard_rows=shard), vectors.where("vec_id % 50 = 0"), 5, step=4, few=4)
+    got = topk.search(topk.build_index(vectors, shard_rows=shard), vectors.where("vec_id % 50 = 0"), 5, step=4, share=0.02)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == topk_plain(rows, 256, 5)
 
 
+def test_topk_of_large_components(make):
+    rows = [(50, [1.0, 0.0]), (1, [5000.0, 0.0]), (2, [6000.0, 0.0]), (3, [7000.0, -1e9]), (100, [3e9, 1.0]), (4, [0.0, 0.0])]
+    vectors = topk.scaled(make("vec_id long, embedding array<double>", rows), 256)
+    got = topk.search(topk.build_index(vectors), vectors.where("vec_id % 50 = 0"), 3)
+    assert sorted(map(tuple, got.collect())) == topk_plain(rows, 256, 3)
+    far = topk.scaled(make("vec_id long, embedding array<double>", [(0, [2.0**40]), (1, [2.0**40])]), 256)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(topk.build_index(far), far, 1).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.scaled(make("vec_id long, embedding array<double>", [(0, [1e300])]), 256)
+
+
+@pytest.mark.parametrize("size", [1, 10**3, 10**7, 10**11])
+def test_topk_bounds_hold_after_every_segment(size):
+    rng = np.random.default_rng(size % 97)
+    m = (rng.normal(0, 1, (300, 12)) * size).astype(np.int64)
+    m[5:9] = m[4]
+    shard = topk._Shard(next(pd.DataFrame([topk._shard(list(range(300)), list(range(300)), m)], columns=[c.split()[0] for c in topk.INDEX.split(", ")]).itertuples()))
+    whole = m.astype(object) @ m[:20].astype(object).T
+    for share in (0.0, 0.02, 0.5):
+        found, read = shard.possible(m[:20], np.arange(20), 5, np.full(20, -np.inf), share)
+        assert 1 <= read <= len(shard.segments)
+        for j in range(20):
+            order = sorted((-whole[i, j], i) for i in range(300) if i != j)[:5]
+            assert {i for _, i in order} <= set(np.flatnonzero(found[:, j])) and j not in np.flatnonzero(found[:, j])
+            assert shard.scores(np.arange(300), m[j]) == whole[:, j].tolist()
+
+
 def test_topk_blocks_of_queries_and_nothing(make):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(0, 1, 8).tolist()) for k in range(400)]
