@@ -30,6 +30,7 @@ import html as _html
 import random
 import re
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import exp, log1p
@@ -59,7 +60,9 @@ CLOSES: dict[str, tuple[frozenset, frozenset]] = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"(class|id|role|aria-label|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_TELLING = frozenset("class id role aria-label itemprop hidden aria-hidden".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in RAW}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -71,25 +74,66 @@ class Node:
     attrs: str = ""
 
 
+class _Open:
+    """The open elements. Where each tag and each block is among them is kept, so nothing is searched for."""
+
+    def __init__(self, nodes: list[Node]):
+        self.nodes, self.stack, self.blocks = nodes, [0], []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: int) -> None:
+        tag = self.nodes[node].tag
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> bool:
+        """Close all from that depth on; whether a block was among them."""
+        for node in reversed(self.stack[depth:]):
+            self.at[self.nodes[node].tag].pop()
+        del self.stack[depth:]
+        block = False
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+            block = True
+        return block
+
+    def end(self, tag: str) -> bool:
+        """An end tag closes the nearest element of its kind; those of inline elements do not reach over a block."""
+        own = self.at.get(tag)
+        if not own or (tag not in BLOCK and self.blocks and self.blocks[-1] > own[-1]):
+            return False
+        return self.cut(own[-1])
+
+    def begin(self, tag: str) -> None:
+        """What an opening tag closes: an open paragraph, and items of its kind within the nearest list or table."""
+        if tag in BLOCK and self.blocks and self.nodes[self.stack[self.blocks[-1]]].tag == "p":
+            self.cut(self.blocks[-1])
+        if tag in CLOSES:
+            ends, limit = CLOSES[tag]
+            low = max((own[-1] for t in limit if (own := self.at.get(t))), default=0)
+            found = [own[k] for t in ends if (own := self.at.get(t)) and (k := bisect_right(own, low)) < len(own)]
+            if found:
+                self.cut(min(found))
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
-    """The elements in page order (parents first), and the events (node, kind, text): 1 text, 0 a line break."""
+    """The elements in page order (parents first), and the events (node, kind, text): 1 text, 0 a line break, 2 the edge of a block."""
     nodes = [Node("#page", -1)]
     events: list[tuple[int, int, str]] = []
-    stack = [0]
     if not page:
         return nodes, events
+    open_ = _Open(nodes)
+    stack = open_.stack
     at, end = 0, len(page)
     raw = ""
-    lower = None
     while at < end:
         if raw:
-            if lower is None:
-                lower = page.lower()
-            stop = lower.find(f"</{raw}", at)
-            stop = end if stop < 0 else stop
-            at, raw = stop, ""
-            if at >= end:
+            m = _RAW_END[raw].search(page, at)
+            if not m:
                 break
+            at, raw = m.start(), ""
         m = _TOKEN.search(page, at)
         stop = m.start() if m else end
         if stop > at:
@@ -97,47 +141,25 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, int, str]]]:
         if not m:
             break
         at = m.end()
-        name = m[2]
-        if name is None:
+        if m[2] is None:
             continue
-        tag = name.lower()
+        tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[k]].tag
-                if own == tag:
-                    del stack[k:]
-                    break
-                # Inline end tags do not reach over a block.
-                if own in BLOCK and tag not in BLOCK:
-                    break
+            if open_.end(tag):
+                events.append((stack[-1], 2, ""))
             continue
-        if tag == "br" or tag == "hr":
+        if tag == "br":
             events.append((stack[-1], 0, ""))
             continue
+        open_.begin(tag)
         if tag in BLOCK:
-            # A block ends an open paragraph and the inline elements within.
-            for k in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[k]].tag
-                if own == "p":
-                    del stack[k:]
-                    break
-                if own in BLOCK:
-                    break
-        if tag in CLOSES:
-            ends, limit = CLOSES[tag]
-            last = 0
-            for k in range(len(stack) - 1, 0, -1):
-                own = nodes[stack[k]].tag
-                if own in limit:
-                    break
-                if own in ends:
-                    last = k
-            if last:
-                del stack[last:]
+            events.append((stack[-1], 2, ""))
+            if tag == "hr":
+                continue
         nodes.append(Node(tag, stack[-1], m[3] or ""))
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCK:
             continue
-        stack.append(len(nodes) - 1)
+        open_.push(len(nodes) - 1)
         if tag in RAW:
             raw = tag
     return nodes, events
@@ -173,7 +195,10 @@ def _hints(attrs: str) -> tuple[list[str], bool]:
     found, hidden = [], False
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
-            if name.lower() in ("hidden", "aria-hidden"):
+            name = name.lower()
+            if name not in _TELLING:
+                continue
+            if name in ("hidden", "aria-hidden"):
                 hidden |= (a or b or c).lower() != "false"
                 continue
             words = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()
@@ -187,12 +212,14 @@ def featurize(nodes: list[Node], events: list[tuple[int, int, str]]) -> tuple[li
     parent = np.fromiter((x.parent for x in nodes), np.int64, n)
     words, marks = [0] * n, [0] * n
     first = [-1] * n
-    for k, (i, kind, text) in enumerate(events):
-        if kind:
+    texts = 0
+    for i, kind, text in events:
+        if kind == 1:
             words[i] += text.count(" ") + text.count("\n") + 1 if not text.isspace() else 0
             marks[i] += text.count(".") + text.count(",")
-        if first[i] < 0:
-            first[i] = k
+            if first[i] < 0:
+                first[i] = texts
+            texts += 1
     linked = [w if x.tag == "a" else 0 for w, x in zip(words, nodes)]
     for i in range(n - 1, 0, -1):
         p = nodes[i].parent
@@ -228,8 +255,8 @@ def featurize(nodes: list[Node], events: list[tuple[int, int, str]]) -> tuple[li
                 f.append(_AT["share:hi"])
             elif w / total < 0.05:
                 f.append(_AT["share:lo"])
-        if first[i] >= 0 and len(events) > 8:
-            place = first[i] / len(events)
+        if first[i] >= 0 and texts > 8:
+            place = first[i] / texts
             if place < 0.1:
                 f.append(_AT["early"])
             elif place > 0.9:
@@ -309,7 +336,7 @@ def train(pages: list[tuple[str, set[str]]], epochs: int = 12, rate: float = 0.1
         rows, edge, parent, silent = featurize(nodes, events)
         good, bad = np.zeros(len(nodes)), np.zeros(len(nodes))
         for i, kind, text in events:
-            if kind and not text.isspace() and not silent[i]:
+            if kind == 1 and not text.isspace() and not silent[i]:
                 (good if any(t in wanted for t in text.split()) else bad)[i] += len(text)
         own = good > 0
         bare = (good + bad) == 0
@@ -369,9 +396,10 @@ def labelled_pages(count: int = 480, seed: int = 3) -> list[tuple[str, set[str]]
         def link(keep: bool, n: int) -> str:
             return f'<a href="/{rng.randint(1, 999)}">{words(n, keep)}</a>'
 
-        def wrap(inner: str, tag: str, names: str) -> str:
+        def wrap(inner: str, tag: str, names: str, unnamed: float = 0.0) -> str:
             shape = rng.random()
-            name = rng.choice(names.split())
+            # Names that say nothing are common: what tells such an element is its shape.
+            name = "".join(rng.choices(syllables, k=rng.randint(2, 3))) if rng.random() < unnamed else rng.choice(names.split())
             attr = f' class="{name}"' if shape < 0.6 else f' id="{name}"' if shape < 0.9 else f' class="{name}-{rng.choice(["box", "wrap", "list", "area"])}"'
             return f"<{tag}{attr}>{inner}</{tag}>"
 
@@ -405,8 +433,8 @@ def labelled_pages(count: int = 480, seed: int = 3) -> list[tuple[str, set[str]]
         def boiler(where: str) -> str:
             made = {
                 "nav": lambda: f"<nav>{items(rng.randint(3, 8), True)}</nav>",
-                "menu": lambda: wrap(items(rng.randint(3, 8), True), rng.choice(["div", "ul", "section"]), HINTS["menu"]),
-                "crumb": lambda: wrap(" &gt; ".join(link(False, 1) for _ in range(3)), "div", "breadcrumb breadcrumbs navigation"),
+                "menu": lambda: wrap(items(rng.randint(3, 8), True), rng.choice(["div", "ul", "section"]), HINTS["menu"], 0.3),
+                "crumb": lambda: wrap(" &gt; ".join(link(False, 1) for _ in range(3)), "div", "breadcrumb breadcrumbs navigation", 0.3),
                 "header": lambda: f"<header>{rng.choice([f'<h1>{words(2, False)}</h1>', '', f'<p>{words(4, False)}</p>'])}{rng.choice([items(4, True), link(False, 2)])}</header>",
                 "head": lambda: wrap(plain(2, 10), "div", HINTS["head"]),
                 "footer": lambda: f"<footer>&copy; {plain(3, 25)}{rng.choice(['', items(3, True)])}</footer>",
@@ -418,14 +446,15 @@ def labelled_pages(count: int = 480, seed: int = 3) -> list[tuple[str, set[str]]
                 "form": lambda: f"<form>{words(rng.randint(1, 8), False)}<input name=q><button>{words(1, False)}</button></form>",
                 "talk": lambda: wrap("".join(f'<div class="{rng.choice(["comment", "reply", "item", "response"])}"><b>{words(1, False)}</b><p>{words(rng.randint(4, 60), False)}</p></div>'
                                              for _ in range(rng.randint(1, 4))), rng.choice(["div", "section", "ol"]), HINTS["talk"]),
-                "share": lambda: wrap(items(3, True), "div", HINTS["share"]),
+                "share": lambda: wrap(items(3, True), "div", HINTS["share"], 0.3),
+                "links": lambda: wrap(f"<h3>{words(2, False)}</h3>" + items(rng.randint(3, 6), True), "div", HINTS["side"], 0.6),
                 "script": lambda: f'<script>var t="{words(3, False)} </p>";</script>',
                 "bare": lambda: "<!-- " + words(3, False) + " -->",
             }
             return made[where]()
 
         before = ["nav", "menu", "crumb", "header", "head", "note", "ad", "form", "script", "bare", "share"]
-        after = ["footer", "foot", "aside", "side", "note", "ad", "form", "talk", "share", "script", "nav"]
+        after = ["footer", "foot", "aside", "side", "links", "note", "ad", "form", "talk", "share", "script", "nav"]
         inside = ["ad", "side", "share", "note", "aside", "script"]
         title = words(rng.randint(2, 10), True)
         blocks = [rng.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", ""])]
@@ -442,7 +471,7 @@ def labelled_pages(count: int = 480, seed: int = 3) -> list[tuple[str, set[str]]
         elif holder < 0.65:
             body = f"<main>{body}</main>"
         elif holder < 0.95:
-            body = wrap(body, rng.choice(["div", "section", "div"]), "content main article post entry story post-content article-body main-content entry-content")
+            body = wrap(body, rng.choice(["div", "section", "div"]), "content main article post entry story post-content article-body main-content entry-content", 0.25)
         else:
             body = f"<div>{body}</div>"
         if rng.random() < 0.2:
@@ -451,6 +480,10 @@ def labelled_pages(count: int = 480, seed: int = 3) -> list[tuple[str, set[str]]
         low = "".join(boiler(rng.choice(after)) for _ in range(rng.randint(1, 4)))
         if rng.random() < 0.05:  # some frameworks put the whole page into one form
             top, low = "<form>" + top, low + "</form>"
+        if rng.random() < 0.12:  # a text and nothing else, as parts of pages and plain documents are
+            text = "".join(blocks) if rng.random() < 0.5 else body
+            out.append((rng.choice([text, f"<html><body>{text}</body></html>", f"<div>{text}</div>", f"<div>{words(rng.randint(1, 9), True)}</div>", words(rng.randint(1, 9), True)]), main))
+            continue
         page = f"<!DOCTYPE html><html><head><title>{words(3, False)}</title><style>p{{margin:0}}</style></head><body>{top}{body}{low}</body></html>"
         out.append((page, main))
     return out
@@ -486,13 +519,13 @@ def blocks_of(page: str | None, model: Model, threshold: float = 0.5) -> list[st
     for i, kind, text in events:
         if silent[i]:
             continue
-        if block[i] != last:
+        if kind == 2 or block[i] != last:
             if held:
                 out.append("".join(held))
             held, last = [], block[i]
-        if not kind:
+        if kind == 0:
             held.append(" ")
-        elif keep[i] >= threshold:
+        elif kind == 1 and keep[i] >= threshold:
             held.append(_html.unescape(text))
     if held:
         out.append("".join(held))

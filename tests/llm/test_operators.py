@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -727,3 +728,65 @@ def test_fine_bits_of_long_texts_tell_pairs(make):
         rows += [(k, " ".join(own[:300] + passage + own[300:])), (100 + k, " ".join(own[:300] + passage + own[300:] + word(len(own) // 8)))]
     kept = {r["doc_id"] for r in similar.drop_near_duplicates(make(DOCS, [(k, t, "en", "s", 0) for k, t in rows])).collect()}
     assert kept == set(range(12))
+
+
+#: Pages written by hand with their main text; the class names of the first ones are in no list of the operator.
+BY_HAND = [
+    ("""<!doctype html><html><head><title>Quiet harbour</title><style>.q{}</style></head><body><div class="zq1"><ul><li><a href="/">Start</a></li><li><a href="/n">News</a></li>
+     <li><a href="/c">Contact us</a></li></ul></div><article><h1>The harbour is quiet</h1><p>Nobody had expected the boats to stay away, but on Monday the quay was empty &amp; still.</p>
+     <p>“It was odd,” said the pilot.<br>She has worked here for years, and the tide tables hang in her kitchen.</p></article><footer><p>All rights reserved, 2021.</p></footer></body></html>""",
+     "The harbour is quiet\nNobody had expected the boats to stay away, but on Monday the quay was empty & still.\n“It was odd,” said the pilot. She has worked here for years, and the tide tables hang in her kitchen."),
+    ("""<html><body><header><a href="/">Brand</a><nav><a href="/a">One</a> <a href="/b">Two</a> <a href="/c">Three</a></nav></header><main><h2>Bread without kneading</h2>
+     <p>Mix the flour, the water and the salt, and leave the dough alone for a whole night.<p>In the morning fold it twice, and bake it in a pot that is very hot.
+     <ul><li>500 g of flour<li>350 g of water<li>10 g of salt</ul></main><aside><h3>More to read</h3><ul><li><a href="/x">Soup</a><li><a href="/y">Cake</a></ul></aside></body></html>""",
+     "Bread without kneading\nMix the flour, the water and the salt, and leave the dough alone for a whole night.\nIn the morning fold it twice, and bake it in a pot that is very hot.\n500 g of flour\n350 g of water\n10 g of salt"),
+    ("""<body><div id="cookie-notice"><p>We use cookies to make this site better for you.</p><button>Fine</button></div><div class="post-content"><h1>On old clocks</h1>
+     <p>A clock that has stopped is right twice a day, which is more than can be said of one that is slow.</p><script>var a = "<p>no</p>";</script>
+     <blockquote>Time is what the clock says, and the clock says what it was told.</blockquote></div>
+     <div class="comments"><div class="comment"><b>Ann</b><p>I had one of these, and it never worked for longer than a week, sadly.</p></div></div></body>""",
+     "On old clocks\nA clock that has stopped is right twice a day, which is more than can be said of one that is slow.\nTime is what the clock says, and the clock says what it was told."),
+    ("""<html><body><table><tr><td><a href="1">Home</a> <a href="2">Map</a> <a href="3">Help</a></td></tr></table><article><p>First part of the story, which is long enough to be read as a text, with marks, too.</p><hr>
+     <p>Second part, after the line, and it goes on for as long as the first one did, or nearly.</p><figure><img src=a.png><figcaption>The line itself, seen from the north side.</figcaption></figure></article>
+     <form action="/s"><label>Search</label><input name=q><button>Go</button></form></body></html>""",
+     "First part of the story, which is long enough to be read as a text, with marks, too.\nSecond part, after the line, and it goes on for as long as the first one did, or nearly.\nThe line itself, seen from the north side."),
+    ("<p>A text without any page around it, as it is found in many a file.</p><p>It has two paragraphs, and nothing else.</p>",
+     "A text without any page around it, as it is found in many a file.\nIt has two paragraphs, and nothing else."),
+    ("Only words, no markup at all &lt;here&gt;", "Only words, no markup at all <here>"),
+    ("""<html><body><nav><ul><li><a href=a>A</a><li><a href=b>B</a></ul></nav><SCRIPT>if (1 < 2) { "İİİİ" }</ScRiPt ><article><h1>Kısa bir yazı</h1><p>İstanbul'da hava güzeldi, deniz de öyle, ve herkes dışarıdaydı.</p>
+     <script>x</script><p>Akşam olunca herkes evine döndü, sokaklar da boş kaldı.</p></article></body></html>""",
+     "Kısa bir yazı\nİstanbul'da hava güzeldi, deniz de öyle, ve herkes dışarıdaydı.\nAkşam olunca herkes evine döndü, sokaklar da boş kaldı."),
+]
+
+
+@pytest.mark.parametrize("page", range(len(BY_HAND)))
+def test_pages_written_by_hand(model, page):
+    assert htmltext.extract(BY_HAND[page][0], model) == BY_HAND[page][1]
+
+
+@pytest.mark.parametrize("html", ["<div>one<p></p>two</div>", "one<div><img></div>two", "one<figure><svg><path/></svg></figure>two", "<p>one<hr>two</p>", "<div>one<ul></ul>two</div>",
+                                  "<div>one<hr/>two</div>"])
+def test_blocks_without_text_part_what_stands_around_them(html):
+    nodes, events = htmltext.parse(html)
+    kinds = [text if kind == 1 else kind for _, kind, text in events if kind != 0]
+    assert 2 in kinds[kinds.index("one") + 1 : kinds.index("two")]
+    everything = htmltext.Model(np.zeros(len(htmltext._NAMES)), np.zeros((len(htmltext._EDGE), 2, 2)))
+    assert htmltext.extract(html, everything) == "one\ntwo"
+
+
+def test_attributes_are_read_whole():
+    assert htmltext._hints(' style="overflow:hidden" data-id="comment" href="?id=ad" title=\'class="menu"\'') == ([], False)
+    assert htmltext._hints(' CLASS="comment" aria-hidden=true') == (["talk"], True)
+    assert htmltext._hints(" hidden")[1] and not htmltext._hints(' aria-hidden="false"')[1]
+
+
+def test_raw_text_ends_where_it_ends(model):
+    for filler in ("I", "İ"):
+        nodes, events = htmltext.parse(filler * 20 + "<p>one</p><script>a</scripty>b</SCRIPT ><p>two</p><style>c</style><p>three</p>")
+        assert [t for _, k, t in events if k == 1 and t.strip() and "a" not in t and "c" not in t] == [filler * 20, "one", "two", "three"]
+
+
+def test_parsing_is_linear_in_open_elements():
+    began = time.perf_counter()
+    for page in ("<i>" * 30_000 + "</b>" * 30_000, "<b><div>" + "<i>" * 30_000 + "</b>" * 30_000, "<ul>" + "<li><i>" * 30_000, "<table>" + "<td>" * 30_000, "<div>" * 30_000 + "<p>" * 30_000):
+        htmltext.parse(page)
+    assert time.perf_counter() - began < 20
