@@ -18,22 +18,29 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import crc32_mod, held, prepare_python
 
 UND = "und"
-_BETWEEN = re.compile(r"[\W\d_]+")
+
+
+@lru_cache(1)
+def _between() -> re.Pattern:
+    """Everything between letters (category L): what ``\\W`` has, digits, and the other numbers that ``\\w`` takes in."""
+    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(f"[\\W\\d_{numbers}]+")
 
 
 def letters(text: str | None) -> bytes:
     """The lower-cased text with one blank for everything between letters."""
-    return _BETWEEN.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass") if text else b""
+    return _between().sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass") if text else b""
 
 
 class Classifier:
@@ -65,35 +72,37 @@ class Classifier:
         return self.langs[order[0]], float(1 / np.exp(-gain).sum()), margin
 
 
-def learn(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 1024, dict_bytes: int = 112_640, max_langs: int = 256, id_col: str = "doc_id",
+def learn(docs: DataFrame, *, docs_per_lang: int = 256, chars_per_doc: int = 1024, dict_bytes: int = 112_640, even_from: int = 65_536, max_langs: int = 256, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang", fold: int | None = None, folds: int = 4) -> dict[str, bytes]:
     """Dictionary content per language from a bounded sample of labelled texts.
 
-    The sample is at most ``docs_per_lang`` texts of each language, first by a hash of the id, and of each a passage of
-    ``chars_per_doc`` characters from a place drawn from the same hash. Rows of the fold ``fold`` are left out. The
-    ``max_langs`` most frequent languages are learned.
+    The sample is at most ``docs_per_lang`` different texts of each language, first by a hash of id and text, and of each
+    a passage of ``chars_per_doc`` characters from a place drawn from the same hash. Rows of the fold ``fold`` are left
+    out. The ``max_langs`` most frequent languages are learned. A larger dictionary would win by size alone, so all get
+    the size of the smallest; languages with less than ``even_from`` bytes keep what they have and do not cut the others.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     if fold is not None:
         known = known.where(crc32_mod(F.col(id_col), folds) != fold)
-    mixed = F.xxhash64(F.col(id_col), F.lit(5))
-    counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+    known = (known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(5), F.col(text_col)).alias("mixed"))
+             .select("lang", "mixed", F.substring(F.col("text"), F.pmod("mixed", F.greatest(F.lit(1), F.length("text") - chars_per_doc)).cast("int") + 1, F.lit(chars_per_doc)).alias("passage")))
+    counts = {r["lang"]: (r["n"], r["different"]) for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("mixed").alias("different"))
               .orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()}
     contents = {}
     if not counts:
         return contents
     # Hashes are uniform, so a threshold per language keeps little more than the sample before anything is sorted.
-    share = F.create_map(*[F.lit(x) for l, n in sorted(counts.items()) for x in (l, min(1.0, (2.0 * docs_per_lang + 50) / n))])
-    near = known.where(F.pmod(mixed, F.lit(1_000_000)) < F.try_element_at(share, F.col(lang_col)) * 1_000_000)
-    start = F.pmod(mixed, F.greatest(F.lit(1), F.length(text_col) - chars_per_doc)).cast("int") + 1
-    rows = near.select(F.col(lang_col).alias("lang"), mixed.alias("mixed"), F.substring(F.col(text_col), start, F.lit(chars_per_doc)).alias("passage")).collect()
+    share = F.create_map(*[F.lit(x) for l, (_, n) in sorted(counts.items()) for x in (l, min(1.0, (2.0 * docs_per_lang + 50) / n))])
+    near = known.where(F.pmod("mixed", F.lit(1_000_000)) < F.try_element_at(share, F.col("lang")) * 1_000_000)
+    # Rows of one id and text are one of the sample, however many there are.
+    once = near.groupBy("lang", "mixed").agg(F.min("passage").alias("passage"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mixed", "passage"))
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["mixed"], r["passage"])):
+    for r in sorted(once.withColumn("nth", nth).where(F.col("nth") <= docs_per_lang).collect(), key=lambda r: (r["lang"], r["nth"])):
         by.setdefault(r["lang"], []).append(letters(r["passage"]))
-    # All dictionaries get the same size: a larger one would win by size alone.
-    whole = {lang: b"\n".join(passages[:docs_per_lang]) for lang, passages in by.items()}
-    size = min([dict_bytes, *(len(x) for x in whole.values() if len(x) >= 4096)])
-    return {lang: whole[lang][:size] for lang in sorted(whole, key=lambda x: (-counts[x], x)) if len(whole[lang]) >= 8}
+    whole = {lang: b"\n".join(passages) for lang, passages in by.items()}
+    size = min([dict_bytes, *(len(x) for x in whole.values() if len(x) >= even_from)])
+    return {lang: whole[lang][:size] for lang in sorted(whole, key=lambda x: (-counts[x][0], x)) if len(whole[lang]) >= 8}
 
 
 def identify(docs: DataFrame, contents: dict[str, bytes], *, min_margin: float = 0.01, text_col: str = "text", out: str = "language") -> DataFrame:

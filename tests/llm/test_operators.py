@@ -88,6 +88,18 @@ def test_language(make):
     assert langid.identify(empty, contents).count() == 0
 
 
+def test_language_letters_and_sample(make):
+    assert [langid.letters(t) for t in ("½ ² ①", "5²", "Ⅷ", "", None, "Ab½c 1é_ß")] == [b"", b"", b"", b"", b"", "ab c é ß".encode()]
+    # One id with as many rows as all others, and a language of few words: neither changes what the others learn.
+    rng = random.Random(3)
+    rows = [(k, sentence(rng, 60), "aa" if k % 2 else "bb", "s", 0) for k in range(400)]
+    more = rows + [(7, "the same " * 20, "aa", "s", 0)] * 400 + [(5000 + k, "rara lingua verba", "zz", "s", 0) for k in range(400)]
+    few, many = (langid.learn(make(DOCS, r), docs_per_lang=100, chars_per_doc=2000, dict_bytes=16_384, even_from=8192) for r in (rows, more))
+    assert set(many) == {"aa", "bb", "zz"} and many["bb"] == few["bb"] and len(many["aa"]) == len(many["bb"]) > 8192
+    assert many["aa"].count(b"the same the same") <= 12
+    assert len(many["zz"]) < 8192
+
+
 # --- line dedup ---------------------------------------------------------------------------------------------------
 
 
