@@ -4,17 +4,24 @@ Candidates are found by pattern and validated (checksums, ranges, calendar).
 Each valid one is mapped within its own format by a keyed permutation: the
 digits of a number to other digits of the same count whose check digits are
 right again, an address octet to an octet, a date to a date of the same
-notation. A permutation sends equal values to equal pseudonyms in every
-document and different values to different ones; with the key it can be
+notation. The permutation is one of values, not of notations: a card with or
+without blanks, a phone number with any marks, a date as ISO, dotted or
+slashed have the same pseudonym, in every document, and different values
+have different ones. With the key and the spans that are returned it can be
 undone (``restore``).
 
 Kinds: ``card`` (13-19 digits, Luhn), ``iban`` (mod 97), ``ssn`` (area, group
 and serial in range), ``phone`` (+country code, 8-15 digits, or a national
-number with area code), ``ipv4``, ``date`` (ISO, dotted, or slashed; 1900 to
-2099), ``number`` (any other run of 13-19 digits, of which the payment
-networks' lengths are the usual case), ``email`` (letters and digits of the
-local part, permuted within their classes), ``secret`` (40 hex digits in
-quotes, permuted as hex).
+number with area code; the country code stays), ``ipv4``, ``date`` (ISO,
+dotted, or slashed with the month first; 1900 to 2099), ``date_dmy`` (slashed,
+its first number too large for a month), ``number`` (any other run of 13-19
+digits, of which the payment networks' lengths are the usual case), ``email``
+(letters and digits of the local part, permuted within their classes),
+``secret`` (40 hex digits in quotes, permuted as hex).
+
+Not found: numbers in words, dates with month names or without leading
+zeros, national phone numbers without brackets, secrets without quotes or of
+other lengths, names and postal addresses.
 
 Defined cases: null stays null; empty texts stay empty; overlapping candidates
 go to the earliest, then to the first kind in the order below; repeated rows get equal
@@ -27,7 +34,6 @@ import hmac
 import re
 from collections.abc import Callable
 from datetime import date, timedelta
-from functools import lru_cache
 from hashlib import sha256
 
 import pandas as pd
@@ -106,20 +112,15 @@ def _card_end(s: str) -> int | None:
     return next((e for e in (ends[0], even, *reversed(ends)) if _is_card(_digits(s[:e]))), None)
 
 
-def _card_in(s: str, key: bytes, back: bool) -> str | None:
-    """The card at the start of s mapped, without what follows it; walked until it would be found at the same place again."""
+def _card(s: str, key: bytes, back: bool) -> str | None:
+    """The card at the start of s mapped, without what follows it."""
     e = _card_end(s)
-    if e is None:
-        return None
-    new = _card_map(s[:e], key, back)
-    while _card_end(new + s[e:]) != e:
-        new = _card_map(new, key, back)
-    return new
+    return None if e is None else _card_map(s[:e], key, back)
 
 
 def _number(s: str, key: bytes, back: bool) -> str | None:
     d = _digits(s)
-    if not 13 <= len(d) <= 19 or luhn_ok(d):
+    if luhn_ok(d):
         return None
     # Numbers that fail the check stay numbers that fail it: the last digit moves among the nine wrong ones.
     body = _permute_digits(d[:-1], key, "number", back)
@@ -153,11 +154,15 @@ def _ssn(s: str, key: bytes, back: bool) -> str | None:
     return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+#: The country calling codes of one and of two digits; all others have three.
+_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(s: str, key: bytes, back: bool) -> str | None:
     d = _digits(s)
     if not 8 <= len(d) <= 15:
         return None
-    head = len(re.match(r"\+?\d{0,3}", s)[0].lstrip("+")) if s[0] == "+" else 0  # the country code stays
+    head = next((k for k in (1, 2) if d[:k] in _CODES), 3) if s[0] == "+" else 0
     return _fill(s, d[:head] + _permute_digits(d[head:], key, f"phone{d[:head]}", back))
 
 
@@ -176,37 +181,27 @@ _FIRST = date(1900, 1, 1)
 _DAYS = (date(2100, 1, 1) - _FIRST).days
 
 
-def _date(s: str, key: bytes, back: bool) -> str | None:
-    a, b, c = (int(x) for x in re.split(r"\D", s))
-    mark = next(x for x in s if not x.isdigit())
-    iso = len(re.match(r"\d+", s)[0]) == 4
-    month_first = mark == "/" and not iso and a <= 12
-    y, m, d = (a, b, c) if iso else (c, a, b) if month_first else (c, b, a)
+def _date_of(s: str, key: bytes, back: bool, order: str) -> str | None:
+    """s with its numbers in that order of y, m and d; every order is of the same days."""
+    parts = dict(zip(order, map(int, re.split(r"\D", s))))
     try:
-        day = (date(y, m, d) - _FIRST).days
+        day = (date(parts["y"], parts["m"], parts["d"]) - _FIRST).days
     except ValueError:
         return None
     if not 0 <= day < _DAYS:
         return None
-    # Within a notation: slashed dates with the day first keep being days that can't be months.
-    if mark == "/" and not iso:
-        days = _slashed(month_first)
-        new = _FIRST + timedelta(days[feistel(_place(month_first)[day], len(days), key, f"date/{month_first}", back)])
-    else:
-        new = _FIRST + timedelta(feistel(day, _DAYS, key, "date", back))
-    order = (new.year, new.month, new.day) if iso else (new.month, new.day, new.year) if month_first else (new.day, new.month, new.year)
-    widths = (4, 2, 2) if iso else (2, 2, 4)
-    return mark.join(str(x).zfill(w) for x, w in zip(order, widths))
+    new = _FIRST + timedelta(feistel(day, _DAYS, key, "date", back))
+    mark = next(x for x in s if not x.isdigit())
+    return mark.join(f"{new.year:04d}" if x == "y" else f"{new.month:02d}" if x == "m" else f"{new.day:02d}" for x in order)
 
 
-@lru_cache(2)
-def _slashed(month_first: bool) -> tuple[int, ...]:
-    return tuple(k for k in range(_DAYS) if month_first or (_FIRST + timedelta(k)).day > 12)
+def _date(s: str, key: bytes, back: bool) -> str | None:
+    order = "ymd" if s[4] == "-" else "dmy" if s[2] == "." else "mdy"
+    return _date_of(s, key, back, order)
 
 
-@lru_cache(2)
-def _place(month_first: bool) -> dict[int, int]:
-    return {k: n for n, k in enumerate(_slashed(month_first))}
+def _date_dmy(s: str, key: bytes, back: bool) -> str | None:
+    return _date_of(s, key, back, "dmy")
 
 
 def _classes(s: str, key: bytes, tweak: str, back: bool) -> str:
@@ -233,11 +228,15 @@ def _email(s: str, key: bytes, back: bool) -> str | None:
 
 
 def _secret(s: str, key: bytes, back: bool) -> str | None:
-    quote, d = s[0], s[1:-1]
-    if d.isdigit() or d.isalpha():
+    upper = s == s.upper()
+    new = s[1:-1]
+    if new.isdigit() or new.isalpha():
         return None
-    new = f"{feistel(int(d, 16), 16 ** len(d), key, f'secret{len(d)}', back):0{len(d)}x}"
-    return quote + (new.upper() if d.isupper() else new) + quote
+    # Walked until there are letters and digits again, which keeps the case known.
+    while True:
+        new = f"{feistel(int(new, 16), 16 ** len(new), key, f'secret{len(new)}', back):0{len(new)}x}"
+        if not (new.isdigit() or new.isalpha()):
+            return s[0] + (new.upper() if upper else new) + s[-1]
 
 
 #: Kinds in order of precedence: pattern, and the map that validates (None: not of this kind).
@@ -247,8 +246,9 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", _iban),
     "ipv4": (r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ipv4),
     "date": (r"(?<!\d)(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?!\d)", _date),
+    "date_dmy": (r"(?<!\d)(?:1[3-9]|2\d|3[01])/\d\d/(?:19|20)\d\d(?!\d)", _date_dmy),
     "ssn": (r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
-    "card": (r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card_in),
+    "card": (r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", _card),
     "phone": (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)", _phone),
     "number": (r"(?<!\d)\d{13,19}(?!\d)", _number),
 }
@@ -259,8 +259,9 @@ _DIGITS = re.compile("|".join(p for k, (p, _) in KINDS.items() if k != "email"),
 _DIGIT = re.compile(r"[0-9]")
 
 
-def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of each in the input."""
+def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[int, int, str, int]]]:
+    """The text with pseudonyms, and (start, end, kind) of each in the input with the length of the pseudonym (an address can
+    get shorter or longer)."""
     if not text:
         return text, []
     search = _ANY.search if "@" in text else _DIGITS.search if _DIGIT.search(text) else None
@@ -271,33 +272,41 @@ def pseudonymise(text: str | None, key: bytes, back: bool = False) -> tuple[str
         start, new = m.start(), None
         for kind, (pattern, to) in _EACH.items():
             own = pattern.match(text, start)
-            if own and (new := to(own[0], key, back)) is not None:
+            if own and (new := to(own[0], key, False)) is not None:
                 end = start + len(new) if kind == "card" else own.end()  # further digits can follow a card
                 break
         if new is None:
             pos = start + 1
             continue
         out += [text[at:start], new]
-        spans.append((start, end, kind))
+        spans.append((start, end, kind, len(new)))
         at = pos = end
     return ("".join([*out, text[at:]]) if spans else text), spans
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes, *, text_col: str = "text", out: str = "pii") -> DataFrame:
-    """docs with the text column replaced by pseudonymised text, and a column ``out``: array of (start, end, kind) in the input."""
+    """docs with the text column replaced by pseudonymised text, and a column ``out``: array of (start, end, kind, length), the
+    first three in the input, length that of the pseudonym."""
     secret = sha256(key).digest()
     prepare_python(docs.sparkSession)
 
-    @F.pandas_udf("text string, spans array<struct<start: int, end: int, kind: string>>")
+    @F.pandas_udf("text string, spans array<struct<start: int, end: int, kind: string, length: int>>")
     def apply(texts: pd.Series) -> pd.DataFrame:
         done = [pseudonymise(t, secret) for t in texts]
         return pd.DataFrame({"text": pd.Series([t for t, _ in done], dtype=object),
-                             "spans": [[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s in done]})
+                             "spans": [[{"start": a, "end": b, "kind": k, "length": n} for a, b, k, n in s] for _, s in done]})
 
     done = docs.withColumn("__pii", apply(F.col(text_col)))
     return done.withColumn(text_col, F.col("__pii")["text"]).withColumn(out, F.col("__pii")["spans"]).drop("__pii")
 
 
-def restore(text: str | None, key: bytes) -> str | None:
-    """The text before pseudonyms, given the key."""
-    return pseudonymise(text, sha256(key).digest(), back=True)[0]
+def restore(text: str | None, spans, key: bytes) -> str | None:
+    """The text before pseudonyms, given the key and the spans that came with them."""
+    if not text:
+        return text
+    secret, out, at, moved = sha256(key).digest(), [], 0, 0
+    for start, end, kind, length in spans:
+        a = start + moved
+        out += [text[at:a], KINDS[kind][1](text[a : a + length], secret, True)]
+        at, moved = a + length, moved + length - (end - start)
+    return "".join([*out, text[at:]])
