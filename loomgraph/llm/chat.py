@@ -9,11 +9,13 @@ window's own exactly once.
 The room T of a window is the budget less the system turn and the history. A
 turn of more than T / 2 tokens is a window of its own; other turns go by the
 half rooms their prefix sum falls into, so their windows hold at most T. The
-sums have two levels, within runs of ``run`` turn numbers and over the runs.
-Windows do not reach over runs, nor does their history, so everything else
-happens where a run's turns are: a very long conversation is spread over
-tasks, texts are shuffled once, and what is gathered into one row is a window,
-bounded by the budget (or one turn, if that is longer, flagged ``over``).
+sums have two levels, within runs of ``run`` consecutive turns and over the
+runs. Windows do not reach over runs, so everything else happens where a run's
+turns are: a very long conversation is spread over tasks, texts are shuffled
+once, and what is gathered into one row is a window, bounded by the budget (or
+one turn, if that is longer, flagged ``over``). The turns that are history of
+the next run go there as well. Places within conversations of more than a run
+come from a sort by range of rows without texts, whatever their turn numbers.
 
 A turn is ``<|role|>`` newline, text, ``<|end|>`` newline. Within texts and
 roles, ``<``, ``[``, ``\\`` (in roles also ``|``) are followed by a backslash, so
@@ -21,16 +23,21 @@ no control string survives: neither this template's nor ``</s>`` or
 ``[INST]``; unescape() undoes it.
 
 Defined cases: null text and null role are empty; turns of equal number are
-ordered by role and text, and repeated rows stay repeated; a null turn comes
-first; a null conversation id is a conversation. Only a first turn with the
+ordered by role and a hash of the text, and repeated rows stay repeated, in one
+run; a null turn comes first; a null conversation id is a conversation. Only a first turn with the
 role ``system`` is retained in later windows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .util import discard, materialize, small
+
 END = "<|end|>\n"
 
 
@@ -43,8 +50,26 @@ def unescape(c: Column, role: bool = False) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """An estimate without a tokenizer: a token per four characters, and four for the marks of a turn."""
-    return (F.ceil(F.length(text) / 4) + 4).cast("long")
+    """An estimate without a tokenizer: a token per four characters, half a token more for every byte that characters beyond
+    ASCII have more than one, and four for the marks of a turn. Pass ``tokens`` for counts of one's own."""
+    return (F.ceil(F.length(text) / 4 + (F.octet_length(text) - F.length(text)) / 2) + 4).cast("long")
+
+
+def _places(rows: DataFrame, long: DataFrame, run: int, history: int) -> DataFrame:
+    """(c, none, turn, role, th, run, next): the run of every turn of the conversations ``long``, and whether it is also history of the next."""
+    conv, key = ["c", "none"], ["c", "none", "turn", "role", "th"]
+    light = rows.join(small(long), conv, "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
+    sorted_ = materialize(light.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("id", F.monotonically_increasing_id()), "chat-sorted")
+    at = sorted_.withColumn("part", F.shiftright("id", 33))
+    parts = at.groupBy(*conv, "part").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    over, within = Window.partitionBy(*conv).orderBy("part"), Window.partitionBy(*conv, "part").orderBy("id")
+    parts = parts.select(*conv, "part", (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("t").over(over) - F.col("t")).alias("t0"))
+    at = (at.withColumn("nth", F.sum("n").over(within) - F.col("n")).withColumn("sum", F.sum("t").over(within)).join(parts, [*conv, "part"])
+          .withColumn("run", F.floor((F.col("n0") + F.col("nth")) / run)).withColumn("upto", F.col("t0") + F.col("sum")))
+    end = F.max("upto").over(Window.partitionBy(*conv, "run"))
+    out = materialize(at.withColumn("next", F.col("upto") - F.col("t") >= end - history).select(*key, "run", "next"), "chat-places")
+    discard(sorted_)
+    return out
 
 
 def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 256, run: int = 256, *, conv_col: str = "conv_id",
@@ -59,26 +84,40 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 25
     # A null conversation is told by a flag, so that keys are plain equalities and share one partitioning.
     conv, part = ["c", "none"], ["c", "none", "run"]
     rows = turns.select(
-        F.coalesce(F.col(conv_col), F.lit(0).cast(turns.schema[conv_col].dataType)).alias("c"), F.col(conv_col).isNull().alias("none"), F.coalesce(F.floor(F.col(turn_col) / run), F.lit(-(1 << 62))).alias("run"),
+        F.coalesce(F.col(conv_col), F.lit(0).cast(turns.schema[conv_col].dataType)).alias("c"), F.col(conv_col).isNull().alias("none"),
         F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (token_count(F.coalesce(F.col(text_col), F.lit(""))) if tokens is None else tokens).alias("tokens"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    long = materialize(rows.groupBy(*conv).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > run).select(*conv), "chat-long")
+    if long.limit(1).count():
+        p = small(_places(rows, long, run, history)).alias("p")
+        same = [F.col(f"r.{c}") == F.col(f"p.{c}") for c in (*conv, "role", "th")] + [F.col("r.turn").eqNullSafe(F.col("p.turn"))]
+        home = F.coalesce("p.run", F.lit(0).cast("long"))
+        rows = (rows.alias("r").join(p, reduce(and_, same), "left")
+                .select("r.*", home.alias("home"), F.explode(F.when(F.col("p.next"), F.array(home, home + 1)).otherwise(F.array(home))).alias("run"))
+                .withColumn("own", F.col("home") == F.col("run")).drop("home"))
+    else:
+        rows = rows.withColumns({"run": F.lit(0).cast("long"), "own": F.lit(True)})
     # Over the runs: what came before each, and the conversation's first turn if that is the system's.
     opening = F.min(F.struct(F.col("turn").isNotNull(), "turn", "role", "text", "tokens"))
     over = Window.partitionBy(*conv).orderBy("run")
     every = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), opening.alias("opening"))
+    runs = rows.where("own").groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"), opening.alias("opening"))
     head = F.first("opening").over(every)
     told = head["role"] == "system"
     runs = runs.select(*part, (F.sum("n").over(over) - F.col("n")).alias("n0"), (F.sum("t").over(over) - F.col("t")).alias("t0"),
                        F.when(told, head["text"]).alias("system"), F.when(told, head["tokens"]).alias("system_tokens"))
     # Within a run: places, long turns, windows, and the history of each turn.
-    inner = Window.partitionBy(*part).orderBy("turn", "role", "text")
+    # What is there as history only stands before the rest, so its places and sums are taken off.
+    inner = Window.partitionBy(*part).orderBy("turn", "role", "th", "text")
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = (rows.withColumn("nth", F.row_number().over(inner)).withColumn("sum", F.sum("tokens").over(upto)).join(runs, part)
+    whole = Window.partitionBy(*part)
+    past_n, past_t = F.sum((~F.col("own")).cast("long")).over(whole), F.sum(F.when(F.col("own"), 0).otherwise(F.col("tokens"))).over(whole)
+    at = (rows.withColumn("nth", F.row_number().over(inner) - past_n).withColumn("sum", F.sum("tokens").over(upto) - past_t).join(runs, part)
           .withColumn("pos", F.col("n0") + F.col("nth") - 1).withColumn("before", F.col("t0") + F.col("sum") - F.col("tokens")))
     half = F.greatest(F.lit(1), F.floor((F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0))) / 2))
     by_pos = Window.partitionBy(*part).orderBy("pos")
-    at = (at.withColumn("half", half).withColumn("long", (F.col("tokens") > F.col("half")).cast("long"))
+    at = (at.withColumn("half", half).withColumn("long", (F.col("own") & (F.col("tokens") > F.col("half"))).cast("long"))
           .withColumn("stretch", F.sum("long").over(by_pos))
           .withColumn("span", F.when(F.col("long") == 1, F.lit(-1)).otherwise(F.floor(F.col("before") / F.col("half")))))
     turn = lambda own: F.struct("pos", "role", "text", "tokens", F.lit(own).alias("own"))
@@ -86,7 +125,7 @@ def format_conversations(turns: DataFrame, budget: int = 2048, history: int = 25
     repeated = F.collect_list(F.when((F.col("pos") > 0) | F.col("system").isNull(), turn(False))).over(past) if history else F.array().cast(
         "array<struct<pos:bigint,role:string,text:string,tokens:bigint,own:boolean>>")
     at = at.withColumn("told", repeated)
-    spans = at.groupBy(*part, "stretch", "long", "span").agg(
+    spans = at.where("own").groupBy(*part, "stretch", "long", "span").agg(
         F.min("pos").alias("first"), F.min("system").alias("system"), F.max("system_tokens").alias("system_tokens"), F.min_by("told", "pos").alias("told"),
         F.sort_array(F.collect_list(turn(True))).alias("turns"))
     spans = spans.withColumn("conv_id", F.when(~F.col("none"), F.col("c")))

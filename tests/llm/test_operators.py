@@ -572,6 +572,26 @@ def test_chat_windows(make, budget, history, run):
     assert chat.format_conversations(make(TURNS, [])).count() == 0
 
 
+def test_chat_windows_whatever_the_turn_numbers(make):
+    """Time stamps as turn numbers, and conversations of many runs: the same windows, and history over the ends of runs."""
+    rng = random.Random(2)
+    rows = [(c, t, "system" if t == 0 else rng.choice(["user", "assistant"]), sentence(rng, rng.choice([1, 4, 9]))) for c in range(3) for t in range(90)]
+    sparse = [(c, 10**12 + t * t * 997, r, x) for c, t, r, x in rows]
+    shape = lambda r, n: sorted((w["conv_id"], w["window"], w["formatted"], w["n_repeated"]) for w in chat.format_conversations(make(TURNS, r), 200, 60, n).collect())
+    dense = shape(rows, 16)
+    assert shape(sparse, 16) == dense
+    starts = {(c, w): n for c, w, _, n in dense}
+    for c in range(3):
+        for k in range(16, 90, 16):
+            before = [chat_tokens(x) for _, _, _, x in rows[90 * c : 90 * c + k]]
+            want = next((n for n in range(len(before)) if sum(before[-n - 1 :]) > 60), len(before))
+            assert starts[c, k] == 1 + want
+
+
+def chat_tokens(text):
+    return -(-(len(text) + 2 * (len(text.encode()) - len(text))) // 4) + 4
+
+
 # --- toxicity -----------------------------------------------------------------------------------------------------
 
 
