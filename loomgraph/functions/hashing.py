@@ -30,7 +30,7 @@ class BucketHash:
 
     def _deal(self, v: Column, low: int, high: int) -> Column:
         """(v div low) + (v mod low) * high within the dealt range."""
-        dealt = F.floor(v / low) + (v % low) * high
+        dealt = F.call_function("div", v, F.lit(low)) + (v % low) * high
         return F.when(v >= self.height * self.parts, v).otherwise(dealt).cast("long") if self.height else v.cast("long")
 
     def hash(self, v: Column) -> Column:

@@ -39,24 +39,24 @@ class Tiling:
         return -(-(self.num_vertices + 1) // self.groups)
 
     def group(self, v: Column) -> Column:
-        return F.floor(v / self.height).cast("long")
+        return F.call_function("div", v, F.lit(self.height))
 
     def owner(self, i: Column, j: Column) -> Column:
         """The global thread that owns tile (i, j), staggered so that each diagonal meets every owner."""
         across = factors(self.ranks)[0]
         down = self.groups // across
         step = self.groups // gcd(across, down)
-        return ((i % down * across + j % across + F.floor(i / step) * (self.groups // down)) % self.groups).cast("long")
+        return ((i % down * across + j % across + F.call_function("div", i, F.lit(step)) * (self.groups // down)) % self.groups).cast("long")
 
     def rank(self, i: Column, j: Column) -> Column:
         return self.owner(i, j) % self.ranks
 
     def thread(self, i: Column, j: Column) -> Column:
-        return F.floor(self.owner(i, j) / self.ranks).cast("long")
+        return F.call_function("div", self.owner(i, j), F.lit(self.ranks))
 
     def placement(self, spark: SparkSession) -> DataFrame:
         """(row_group, col_group, owner, rank, thread) of every tile."""
         cells = spark.range(self.groups * self.groups).select(
-            F.floor(F.col("id") / self.groups).cast("long").alias("row_group"), (F.col("id") % self.groups).alias("col_group"))
+            F.call_function("div", F.col("id"), F.lit(self.groups)).alias("row_group"), (F.col("id") % self.groups).alias("col_group"))
         i, j = F.col("row_group"), F.col("col_group")
         return cells.select(i, j, self.owner(i, j).alias("owner"), self.rank(i, j).alias("rank"), self.thread(i, j).alias("thread"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from .plans.graph import Graph
 from .plans.program import VertexProgram, run
 from .sources import edge_files as E
 from .sources import tables as T
+from .storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 UNDIRECTED = {"directed": False, "parallel_edges": False}
@@ -127,6 +130,16 @@ def _edges() -> None:
     _query("edges_normalized_bfs", sql.format(_ctes("events_seq", _SEARCH_SQL)))(lambda s, d: graph(s, d, "events_seq", True, **SEARCH).edges)
     _query("edges_normalized_sssp", sql.format(_ctes("events_seq", "SELECT v AS u, u AS v, min(w) AS w FROM g WHERE u <> v GROUP BY 1, 2")))(
         lambda s, d: graph(s, d, "events_seq", True, transpose=True, **PATHS).edges)
+    top = "(SELECT (max(greatest(u, v)) + 1) // 1024 FROM g)"
+    moved = "CASE WHEN {c} >= " + top + " * 1024 THEN {c} ELSE {c} // 1024 + {c} % 1024 * " + top + " END"
+    _query("edges_hashed", f"{_ctes('order_part')} SELECT {moved.format(c='u')} AS src, {moved.format(c='v')} AS dst FROM e")(
+        lambda s, d: graph(s, d, "order_part", hashing="bucket", buckets=8).edges)
+
+    def unhashed(s, d):
+        g = graph(s, d, "order_part", hashing="bucket", buckets=8)
+        return g.original(A.degree(g))
+
+    _query("degree_unhashed", _degree_sql("order_part"))(unhashed)
     _query("vertex_classes", f"""{_ctes("part_supp_raw")}, r AS (SELECT DISTINCT u AS id FROM e), c AS (SELECT DISTINCT v AS id FROM e)
         SELECT dom.id, CASE WHEN r.id IS NOT NULL AND c.id IS NOT NULL THEN 'regular' WHEN r.id IS NOT NULL THEN 'source' WHEN c.id IS NOT NULL THEN 'sink' ELSE 'isolated' END AS class
         FROM dom LEFT JOIN r ON r.id = dom.id LEFT JOIN c ON c.id = dom.id""")(lambda s, d: graph(s, d, "part_supp_raw").classes())
@@ -159,8 +172,16 @@ def _searches() -> None:
     _query("bfs_levels", f"{b} SELECT hops, count(*) AS vertices FROM s GROUP BY hops")(lambda s, d: bfs(s, d).state.groupBy("hops").agg(F.count(F.lit(1)).alias("vertices")))
     _query("display_bfs", f"""{b} SELECT id, 'vertex[' || id || ']:Parent=' || coalesce(CAST(parent AS VARCHAR), '0') || ',Hops=' || coalesce(CAST(hops AS VARCHAR), 'INF') AS shown
         FROM s ORDER BY id LIMIT 31""")(lambda s, d: R.display(bfs(s, d).state))
+    shown = "SELECT id, 'vertex[' || id || ']:{}' AS shown FROM s ORDER BY id LIMIT 31"
+    _query("display_sssp", f"{_sssp_ctes('events_seq')} {shown.format(chr(39).join(('Distance=', ' || coalesce(CAST(distance AS VARCHAR), ', 'INF', ') || ', '')))}")(
+        lambda s, d: R.display(A.sssp(graph(s, d, "events_seq", True, **PATHS)).state))
+    _query("display_cc", f"{_cc_ctes('order_cust')} {shown.format(chr(39).join(('Label=', ' || label || ', '')))}")(
+        lambda s, d: R.display(A.connected_components(graph(s, d, "order_cust", **UNDIRECTED)).state))
     _query("bfs_sentinel", f"{b} SELECT id, coalesce(hops, 2147483647) AS hops, coalesce(parent, 0) AS parent FROM s")(
         lambda s, d: A.bfs(graph(s, d, "order_part", **SEARCH), 1, sentinel=True).state)
+    # Many levels: orders and customers in turn.
+    _query("bfs_levels_deep", f"{_bfs_ctes('order_cust', 1)} SELECT hops, count(*) AS vertices FROM s GROUP BY hops")(
+        lambda s, d: A.bfs(graph(s, d, "order_cust", **SEARCH), 1).state.groupBy("hops").agg(F.count(F.lit(1)).alias("vertices")))
     for name, source, weighted, weight in (("sssp_weighted", "events_seq", True, "e.w"), ("sssp_weighted_deep", "order_part", True, "e.w"), ("sssp_hops", "order_part", False, "1")):
         root = 0 if source == "events_seq" else 1
         _query(name, f"{_sssp_ctes(source, weight, root)} SELECT id, distance FROM s")(
@@ -202,19 +223,56 @@ def _reports() -> None:
 
 
 def _files() -> None:
+    def new_path(spark, kind):
+        return f"{shared_dir(spark)}/edges-{kind}-{uuid.uuid4().hex}"
+
     def written(spark, edges, kind):
         """A round trip through files in the shared folder."""
-        import uuid
-
-        from .storage import shared_dir
-
-        path = f"{shared_dir(spark)}/edges-{kind}-{uuid.uuid4().hex}"
+        path = new_path(spark, kind)
         {"text": E.write_text, "binary": E.write_binary}[kind](edges, path)
         return E.read_edges(spark, path, weighted=True)
 
     same = "{} SELECT u AS src, v AS dst, w AS weight FROM e"
     _query("text_roundtrip", same.format(_ctes("events_seq")))(lambda s, d: written(s, T.events_seq(s, d), "text"))
     _query("binary_roundtrip", same.format(_ctes("events_seq")))(lambda s, d: written(s, T.events_seq(s, d), "binary"))
+    def lines(spark, *parts):
+        """A text file of the given lines (column value), read again as an edge list."""
+        path = new_path(spark, "lines")
+        reduce(DataFrame.unionAll, [p.select("value") for p in parts]).write.text(path)
+        return path
+
+    def line(edges, *columns):
+        return edges.select(F.concat_ws(" ", *columns).alias("value"))
+
+    def noise(spark):
+        """Comments and blank lines."""
+        return spark.range(30).select(F.when(F.col("id") % 3 == 0, "# a comment").when(F.col("id") % 3 == 1, "% 1 2").otherwise("").alias("value"))
+
+    _query("text_unweighted", f"{_ctes('order_cust')} SELECT u AS src, v AS dst FROM e")(
+        lambda s, d: E.read_text(s, lines(s, line(T.order_cust(s, d), "src", "dst"), noise(s))))
+
+    def malformed(s, d):
+        e = T.order_cust(s, d)
+        return E.read_text(s, lines(s, line(e.where("src % 2 = 0"), "src", "dst"), line(e.where("src % 2 = 1"), "src", "dst", "weight")), mode="DROPMALFORMED")
+
+    _query("text_malformed_dropped", f"{_ctes('order_cust')} SELECT u AS src, v AS dst FROM e WHERE u % 2 = 0")(malformed)
+
+    def loaded(s, d):
+        e = T.order_cust(s, d)
+        path = lines(s, line(e, "src", "dst", "weight"), noise(s))
+        top = e.agg(F.max(F.greatest("src", "dst"))).first()[0]
+        return Graph.load(s, path, top, weighted=True, expected_edges=T.order_cust(s, d).count()).edges
+
+    _query("load_reconciled", f"{_ctes('order_cust')} SELECT u AS src, v AS dst, w AS weight FROM e")(loaded)
+
+    def converted(s, d, report):
+        source, target = lines(s, line(T.order_cust(s, d), "src", "dst", "weight"), noise(s)), new_path(s, "converted")
+        said = E.convert(s, source, target, source_weighted=True, offset=3)
+        return s.createDataFrame([said], "comments long, max_id long, edges long, lines long") if report else E.read_edges(s, target)
+
+    _query("convert_file", f"{_ctes('order_cust')} SELECT u + 3 AS src, v + 3 AS dst FROM e")(lambda s, d: converted(s, d, False))
+    _query("convert_report", f"{_ctes('order_cust')} SELECT 20 AS comments, max(greatest(u, v)) + 3 AS max_id, count(*) AS edges, count(*) + 20 AS lines FROM e")(
+        lambda s, d: converted(s, d, True))
     _query("convert_offset", f"{_ctes('order_part')} SELECT u + 7 AS src, v + 7 AS dst, w AS weight FROM e")(lambda s, d: E.displace(T.order_part(s, d), 7))
     _query("convert_stats", f"{_ctes('order_part')} SELECT max(greatest(u, v)) AS max_id, count(*) AS edges FROM e")(lambda s, d: E.stats(T.order_part(s, d)))
     _query("convert_drop_weights", f"{_ctes('order_cust')} SELECT u AS src, v AS dst FROM e")(lambda s, d: T.order_cust(s, d).select("src", "dst"))

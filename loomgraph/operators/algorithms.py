@@ -36,6 +36,8 @@ def pagerank(graph: Graph, iterations: int = 0, *, mode: str = "row_pull", alpha
     if mode not in ("row_pull", "standard"):
         raise ValueError(f"unknown mode {mode!r}")
     pull = mode == "row_pull"
+    # The source is read and normalised once; degrees, classes, the loop and the last step all start from the stored edges.
+    graph = graph.prepare()
     out_degree = degree(graph, weighted=False)
     acc = F.coalesce(F.col("acc"), F.lit(0.0))
     new_rank = F.lit(alpha) + (1 - alpha) * acc
@@ -50,8 +52,12 @@ def pagerank(graph: Graph, iterations: int = 0, *, mode: str = "row_pull", alpha
         ordering="row" if pull else "col",
     )
     if not (pull and split):
-        watched = graph.classes().where("class = 'regular'") if pull and not iterations else None
-        return run(graph, program, iterations, init_from=out_degree, converge_on=watched)
+        watched = Stored(graph.classes().where("class = 'regular'"), "classes") if pull and not iterations else None
+        out = run(graph, program, iterations, init_from=out_degree, converge_on=watched and watched.df)
+        if watched:
+            watched.drop()
+        graph.release()
+        return out
     classes = Stored(graph.classes(), "classes")
     regular = classes.df.where("class = 'regular'").select("id")
     inner = Graph(graph.edges.join(regular.withColumnRenamed("id", "src"), "src", "leftsemi"), graph.num_vertices, graph.options)
@@ -67,6 +73,7 @@ def pagerank(graph: Graph, iterations: int = 0, *, mode: str = "row_pull", alpha
     whole = Stored(after.df.select("id", "rank", "degree").join(late, "id", "left").select("id", F.coalesce("late", "rank").alias("rank"), "degree"), "ranks")
     for x in (before, after, classes):
         x.drop()
+    graph.release()
     return Result(whole.df, n, seconds, whole)
 
 

@@ -62,5 +62,5 @@ def compact_index(edges: DataFrame, column: str, height: int) -> DataFrame:
     """(id, segment, index): the dense numbering, within segments of ``height`` ids, of the ids that occur in ``column``."""
     from pyspark.sql import Window
 
-    ids = edges.select(F.col(column).alias("id")).distinct().withColumn("segment", F.floor(F.col("id") / height).cast("long"))
+    ids = edges.select(F.col(column).alias("id")).distinct().withColumn("segment", F.call_function("div", F.col("id"), F.lit(height)))
     return ids.withColumn("index", (F.row_number().over(Window.partitionBy("segment").orderBy("id")) - 1).cast("long"))

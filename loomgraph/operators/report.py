@@ -47,7 +47,7 @@ def timing(seconds: list[float]) -> str:
 def balance(edges: DataFrame, groups: int, height: int, column: str = "src", limit: float = 0.2) -> DataFrame:
     """(group, edges, ratio, uneven): edges per group of ids against an even share; groups without edges are counted."""
     spark = edges.sparkSession
-    own = edges.groupBy(F.floor(F.col(column) / height).cast("long").alias("group")).agg(F.count(F.lit(1)).alias("edges"))
+    own = edges.groupBy(F.call_function("div", F.col(column), F.lit(height)).alias("group")).agg(F.count(F.lit(1)).alias("edges"))
     every = spark.range(groups).select(F.col("id").alias("group")).join(own, "group", "left").select("group", F.coalesce("edges", F.lit(0)).alias("edges"))
     total = own.agg(F.sum("edges").alias("total"))
     ratio = F.col("edges") * groups / F.col("total")
@@ -57,5 +57,5 @@ def balance(edges: DataFrame, groups: int, height: int, column: str = "src", lim
 
 def tile_histogram(edges: DataFrame, height: int) -> DataFrame:
     """(row_group, col_group, edges) of the tiles that have any."""
-    return edges.groupBy(F.floor(F.col("src") / height).cast("long").alias("row_group"), F.floor(F.col("dst") / height).cast("long").alias("col_group")).agg(
+    return edges.groupBy(F.call_function("div", F.col("src"), F.lit(height)).alias("row_group"), F.call_function("div", F.col("dst"), F.lit(height)).alias("col_group")).agg(
         F.count(F.lit(1)).alias("edges"))

@@ -58,11 +58,15 @@ class Graph:
         return cls(normalize(edges, options, num_vertices=num_vertices, hasher=own), num_vertices, options, own)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, num_vertices: int | None = None, *, fmt: str = "auto", weighted: bool = False, mode: str = "FAILFAST", **flags) -> Graph:
-        """From a text or binary edge list; fmt "auto" looks at the first bytes."""
-        from ..sources.edge_files import read_edges
+    def load(cls, spark: SparkSession, path: str, num_vertices: int | None = None, *, fmt: str = "auto", weighted: bool = False, mode: str = "FAILFAST",
+             expected_edges: int | None = None, **flags) -> Graph:
+        """From a text or binary edge list; fmt "auto" looks at the first bytes. expected_edges: another number of records is an error."""
+        from ..sources.edge_files import read_edges, reconciled
 
-        return cls.from_edges(read_edges(spark, path, fmt=fmt, weighted=weighted, mode=mode), weight="weight" if weighted else None, num_vertices=num_vertices, **flags)
+        edges = read_edges(spark, path, fmt=fmt, weighted=weighted, mode=mode)
+        if expected_edges is not None:
+            edges = reconciled(edges, expected_edges)
+        return cls.from_edges(edges, weight="weight" if weighted else None, num_vertices=num_vertices, **flags)
 
     def original(self, state: DataFrame, *columns: str) -> DataFrame:
         """A result with the ids of before hashing, in ``id`` and further columns that hold ids (parent, label)."""
@@ -77,7 +81,9 @@ class Graph:
         return vertex_classes(self.edges, self.num_vertices)
 
     def prepare(self) -> Graph:
-        """This graph with its edges stored. The caller's graph stays as it is."""
+        """This graph with its edges stored. The caller's graph stays as it is; of stored edges no second copy is made."""
+        if any(isinstance(x, Stored) for x in self._held):
+            return Graph(self.edges, self.num_vertices, self.options, self.hasher)
         stored = Stored(self.edges, "edges")
         out = Graph(stored.df, self.num_vertices, self.options, self.hasher)
         out._held.append(stored)

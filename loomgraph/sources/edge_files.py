@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a packed record without and with a weight.
@@ -163,15 +163,21 @@ def convert(spark: SparkSession, source: str, target: str, *, source_format: str
             target_weighted: bool = False, offset: int = 0, seed: int = 0) -> dict[str, int]:
     """Read one format, write another; weights are made up or dropped as needed. Returns comments, max_id, edges and lines."""
     source_format = sniff(spark, source) if source_format == "auto" else source_format
-    edges = read_edges(spark, source, fmt=source_format, weighted=source_weighted)
+    # Counted on the way to the target, in the one pass that there is.
+    marks, found = Observation(), Observation()
+    if source_format == "text":
+        comment = F.count_if(F.col("value").startswith("#") | F.col("value").startswith("%"))
+        edges = parse_text(spark.read.text(source).observe(marks, comment.alias("comments")), weighted=source_weighted)
+    else:
+        edges = read_edges(spark, source, fmt=source_format, weighted=source_weighted)
     edges = displace(edges, offset) if offset else edges
     if target_weighted and not source_weighted:
         edges = with_weights(edges, seed)
     if not target_weighted:
         edges = edges.select("src", "dst")
+    edges = edges.observe(found, F.coalesce(F.max(F.greatest("src", "dst")), F.lit(0)).alias("max_id"), F.count(F.lit(1)).alias("edges"))
     {"text": write_text, "binary": write_binary}[target_format](edges, target)
-    out = stats(edges).first().asDict()
-    comments = spark.read.text(source).where("startswith(value, '#') or startswith(value, '%')").count() if source_format == "text" else 0
+    out, comments = found.get, marks.get["comments"] if source_format == "text" else 0
     return {"comments": comments, "max_id": out["max_id"], "edges": out["edges"], "lines": out["edges"] + comments}
 
 

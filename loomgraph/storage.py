@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set (tests on one machine), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where none is set, on one machine, a new temporary one. On a cluster that
+    would be another folder for every executor, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomgraph.store", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("loomgraph.store", found)
