@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a temporary
-    folder is made and remembered in the session.
+    Only where the session names none, on one machine, a temporary folder is
+    made and remembered in the session. On a cluster each executor would write
+    to its own disk, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("loomgraph.shared.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("loomgraph.shared.dir", found)
