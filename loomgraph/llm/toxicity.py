@@ -73,6 +73,11 @@ def subwords(words: list[str], buckets: int, low: int = 3, high: int = 5) -> tup
     return ((flat[order] >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64), np.bincount(own, minlength=len(words))
 
 
+def slabs(n: int, size: int = 20_000) -> list[tuple[int, int]]:
+    """Beginnings and ends of pieces of n words, so that what is needed for the pairs of a piece stays small."""
+    return [(k, min(k + size, n)) for k in range(0, n, size)]
+
+
 @dataclass
 class Model:
     """Logit of class 1 against 0: the mean over a window's words of the mean of their subwords' weights, plus bias.
@@ -120,11 +125,10 @@ def train(texts: list[str | None], labels: list[int], *, buckets: int = 1 << 18,
     # Words are numbered; a document is the sequence of its numbers.
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
-    # In slabs, so that what is needed on the way stays small.
     every = list(number)
     ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for k in range(0, len(every), 20_000):
-        flat, n = subwords(every[k : k + 20_000], buckets)
+    for a, b in slabs(len(every)):
+        flat, n = subwords(every[a:b], buckets)
         ids.append(flat.astype(np.int32))
         sizes.append(n)
     ids, sizes = np.concatenate(ids), np.concatenate(sizes)
@@ -136,13 +140,19 @@ def train(texts: list[str | None], labels: list[int], *, buckets: int = 1 << 18,
         n = sizes[own]
         flat = np.repeat(begins[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         seen_in[c][np.unique(ids[flat])] += 1
-    # Only the pairs (word, subword) of common subwords are kept; the others' vectors are zero.
+    # Only the pairs (word, subword) of common subwords are kept; the others' vectors are zero. They move up in place.
     common = np.flatnonzero(seen_in.sum(0) >= min_docs)
     number_of = np.full(buckets, -1, np.int32)
     number_of[common] = np.arange(len(common))
-    word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    ids = number_of[ids]
-    word_of, ids, seen_in = word_of[ids >= 0], ids[ids >= 0], seen_in[:, common]
+    kept, ends = np.zeros(len(sizes) + 1, np.int64), np.append(begins, len(ids))
+    for a, b in slabs(len(sizes)):
+        own = number_of[ids[ends[a] : ends[b]]]
+        kept[a + 1 : b + 1] = np.bincount(np.repeat(np.arange(b - a), sizes[a:b])[own >= 0], minlength=b - a)
+        own = own[own >= 0]
+        done = kept[: a + 1].sum()
+        ids[done : done + len(own)] = own
+    kept = np.cumsum(kept)
+    ids, seen_in = ids[: kept[-1]].copy(), seen_in[:, common]
     at, start, end, owner = [], [], [], []
     base = 0
     for d, doc in enumerate(docs):
@@ -170,9 +180,15 @@ def train(texts: list[str | None], labels: list[int], *, buckets: int = 1 << 18,
     cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** balance
     fast = [np.zeros_like(emb), np.zeros_like(out), np.zeros_like(bias)]  # running squares, for step sizes
     run = np.zeros(len(at) + 1)
+
+    def word_of(a: int, b: int) -> np.ndarray:
+        """The word, counted from a, of each pair kept of the words a to b."""
+        return np.repeat(np.arange(b - a), np.diff(kept[a : b + 1]))
+
     for epoch in range(epochs):
         slope = out[:, 1] - out[:, 0]
-        per_word = np.bincount(word_of, (emb @ slope)[ids], len(sizes)) / sizes
+        of_common = emb @ slope
+        per_word = np.concatenate([np.bincount(word_of(a, b), of_common[ids[kept[a] : kept[b]]], b - a) for a, b in slabs(len(sizes))] or [np.zeros(0)]) / sizes
         np.cumsum(per_word[at], out=run[1:])
         logit = (run[end] - run[start]) / length + bias[1] - bias[0]
         # The strongest windows of each document share its gradient.
@@ -189,7 +205,9 @@ def train(texts: list[str | None], labels: list[int], *, buckets: int = 1 << 18,
         word = at[np.repeat(start[pick], end[pick] - start[pick]) + inner]
         own = (g / take)[owner[pick]]  # for the logit of 1; the negative for 0
         per_word_g = np.bincount(word, (own / span)[rows], len(sizes)) / sizes
-        coef = np.bincount(ids, per_word_g[word_of], len(common))
+        coef = np.zeros(len(common))
+        for a, b in slabs(len(sizes)):
+            coef += np.bincount(ids[kept[a] : kept[b]], per_word_g[a:b][word_of(a, b)], len(common))
         grad_slope = emb.T @ coef
         d_out = np.stack((-grad_slope, grad_slope), 1)
         d_emb = np.outer(coef, slope) + decay * emb

@@ -627,6 +627,17 @@ def test_toxicity_without_both_classes(make, labels, want):
     assert {r["score"] for r in toxicity.score_documents(df, model).collect()} == {want}
 
 
+def test_toxicity_pieces_of_training(monkeypatch):
+    rng = random.Random(9)
+    texts, ys = [insults(rng, 40, k % 3 == 0) for k in range(120)] + [None, "", "?!"], [int(k % 3 == 0) for k in range(120)] + [0, 1, 0]
+    whole = toxicity.train(texts, ys, epochs=5)
+    cut = toxicity.slabs
+    monkeypatch.setattr(toxicity, "slabs", lambda n: cut(n, 7))
+    pieces = toxicity.train(texts, ys, epochs=5)
+    assert whole.weight.any() and np.allclose(whole.weight, pieces.weight, atol=1e-4) and abs(whole.bias - pieces.bias) < 1e-6
+    assert not toxicity.train([None, "?!"], [0, 1]).weight.any()
+
+
 # --- packing ------------------------------------------------------------------------------------------------------
 
 
