@@ -31,16 +31,35 @@ from .util import crc32_mod, held, prepare_python
 UND = "und"
 
 
+#: ASCII bytes with a blank for all but letters.
+_ASCII = bytes(b if b < 128 and chr(b).isalpha() else 32 for b in range(256))
+_BETWEEN = re.compile(r"[\W\d_]+")
+_FAR = re.compile("[\U00010000-\U0010ffff]")
+
+
 @lru_cache(1)
-def _between() -> re.Pattern:
-    """Everything between letters (category L): what ``\\W`` has, digits, and the other numbers that ``\\w`` takes in."""
-    numbers = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(f"[\\W\\d_{numbers}]+")
+def _numbers() -> tuple[re.Pattern, re.Pattern]:
+    """The numbers other than digits that ``\\w`` takes in, up to U+FFFF and beyond.
+
+    Sets of their own: with a category, or with anything beyond U+FFFF, the whole set is gone through for every letter.
+    """
+    numbers = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    near, far = ("".join(c for c in numbers if (c > "\uffff") == beyond) for beyond in (False, True))
+    return re.compile(f"[{near}]"), re.compile(f"[{far}]")
 
 
 def letters(text: str | None) -> bytes:
-    """The lower-cased text with one blank for everything between letters."""
-    return _between().sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass") if text else b""
+    """The lower-cased text with one blank for everything between letters (category L)."""
+    if not text:
+        return b""
+    text = text.lower()
+    if text.isascii():
+        return b" ".join(text.encode().translate(_ASCII).split())
+    near, far = _numbers()
+    text = near.sub(" ", text)
+    if _FAR.search(text):
+        text = far.sub(" ", text)
+    return _BETWEEN.sub(" ", text).strip().encode("utf-8", "surrogatepass")
 
 
 class Classifier:

@@ -100,6 +100,27 @@ def test_language_letters_and_sample(make):
     assert len(many["zz"]) < 8192
 
 
+def test_language_letters_are_category_l_at_the_cost_of_one_pass():
+    every = "".join(map(chr, range(0x110000)))
+    rng = random.Random(11)
+    odd = ["".join(rng.choices("aÉß日𐐀 5½Ⅷ𐄇_-²\n\ud800K", k=rng.randint(1, 12))) for _ in range(3000)]
+    for t in (every, every[:128], every[:0x10000], *odd):
+        plain = "".join(c if c.isalpha() else " " for c in t.lower())
+        assert langid.letters(t) == " ".join(x for x in plain.split(" ") if x).encode("utf-8", "surrogatepass")
+
+    def seconds(f, t):
+        best = 9.0
+        for _ in range(3):
+            start = time.process_time()
+            f(t)
+            best = min(best, time.process_time() - start)
+        return best
+
+    between = re.compile(r"[\W\d_]+")
+    for word in ("language ", "größer "):
+        assert seconds(langid.letters, word * 20_000) < 5 * seconds(lambda t: between.sub(" ", t), word * 20_000)
+
+
 # --- line dedup ---------------------------------------------------------------------------------------------------
 
 
