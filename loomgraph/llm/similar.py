@@ -1,14 +1,19 @@
-"""Near copies by the exact similarity of word shingles: the looser grouping that the pipeline's near-dedup stage uses.
+"""SimHash near-dedup to a similarity of texts: the grouping that the pipeline's near-dedup stage uses.
+
+First comes SimHash, by its operator (simhash.py): a fingerprint of every text, the pigeonhole blocks that bring together
+all fingerprints within ``max_bits`` bits, and the exact similarity of the texts, which decides on each link. What these
+links connect is one group from there on.
 
 Texts of similarity 0.8 differ in about one SimHash bit of seven. A proof by pigeonhole would need blocks of a few bits,
-which select nothing, so the candidates come from the shingle sets themselves: ordered by their hashes, two sets as
-similar as asked share one of the first fifth of each (prefix()), whatever the number of documents. What is compared
-first is a fingerprint all the same: parity bits of the set, of which two sets that are as similar as asked differ in
-no more than the similarity allows. The exact similarity of the texts decides.
+which select nothing, so for pairs whose fingerprints are further apart a second step takes its candidates from the
+shingle sets: ordered by their hashes, two sets as similar as asked share one of the first fifth of each (prefix()),
+whatever the number of documents. Before texts are compared, parity bits of the sets are, of which two sets that are as
+similar as asked differ in no more than the similarity allows. The exact similarity of the texts decides here too, and
+pairs that SimHash has connected are not looked at again.
 
 Hashes of more than ``common_over`` sets (the ``max_common`` most frequent) are put last in the order, which changes the
-work, not the result. Of the sets that share a key, no pair is left out but those that are connected already: each set
-first meets the head of each of its keys, the set whose keys are the most frequent (in a group of copies, the
+work, not the result. Of the sets that share a key, no pair is left out but those that are connected already: after
+SimHash each set first meets the head of each of its keys, the set whose keys are the most frequent (in a group of copies, the
 original); then those of one key that are still apart meet all others, in blocks of about ``pair_bucket``.
 
 Defined cases: null, empty and wordless texts are equal to each other and to nothing else; a text with fewer words than
@@ -28,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .simhash import _NORM
 from .util import discard, materialize, prepare_python, small
@@ -135,11 +141,32 @@ _FINE = """aggregate(zip_with(
     (p, q) -> bit_count(p ^ q)), 0, (a, b) -> a + b)"""
 
 
+def fingerprint_pairs(marked: DataFrame, distinct: DataFrame, max_bits: int, possible: str) -> DataFrame:
+    """(a, b): pairs of different sets that SimHash links and that are ``possible``.
+
+    ``marked`` has f0, f1 and the fingerprint fp of each row, ``distinct`` the node of each set. A set has several
+    fingerprints where texts differ in repeats only; sets of one fingerprint are linked with the first of them.
+    """
+    prints = materialize(marked.select("fp", "f0", "f1").distinct().join(distinct.select("f0", "f1", "node"), ["f0", "f1"]).select("fp", "node"), "similar-prints")
+    first = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "similar-firsts")
+    found = simhash.links(first.select("fp"), max_bits)
+    same = prints.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    linked = (found.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+              .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    pairs = same.unionByName(linked).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sets = distinct.select("node", "n", *_PARTS)
+    out = materialize(pairs.join(sets.alias("x"), F.col("a") == F.col("x.node")).join(sets.alias("y"), F.col("b") == F.col("y.node")).where(possible).select("a", "b"), "similar-close")
+    discard(prints, first, found)
+    return out
+
+
 def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int = 5, *, id_col: str = "doc_id", text_col: str = "text",
-                   pair_bucket: int = 1024, first_heads: int = 6, common_over: int = 256, max_common: int = 1 << 16) -> DataFrame:
+                   max_bits: int = 2, print_shingle: int = 3, pair_bucket: int = 1024, first_heads: int = 6, common_over: int = 256,
+                   max_common: int = 1 << 16) -> DataFrame:
     """(doc_id, th, label) for copies of a Jaccard similarity of at least ``min_similarity`` (0.5 to 1), and what is linked by them.
 
     th is the hash of the row's text, label the (doc_id, th) that comes first in the group. Rows of a null id have none.
+    SimHash links fingerprints of ``print_shingle``-word shingles within ``max_bits`` bits.
     """
     if not 0.5 <= min_similarity <= 1:
         raise ValueError("min_similarity must be within 0.5 and 1")
@@ -147,7 +174,8 @@ def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int =
     prepare_python(spark)
     numbers = ["n", *_PARTS]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
-    marked = materialize(rows.where("doc_id is not null").withColumn("f", _sketched(shingle, min_similarity)("text")).select("doc_id", "th", "f.*"), "similar-sets")
+    marked = materialize(simhash.with_fingerprint(rows.where("doc_id is not null"), print_shingle)
+                         .withColumn("f", _sketched(shingle, min_similarity)("text")).select("doc_id", "th", "fp", "f.*"), "similar-sets")
     distinct = materialize(
         marked.groupBy("f0", "f1").agg(F.min(F.struct("doc_id", "th")).alias("of"), *[F.first(c).alias(c) for c in (*numbers, "keys", "bits")])
         .withColumn("node", F.monotonically_increasing_id()), "similar-distinct")
@@ -176,6 +204,13 @@ def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int =
         discard(pairs, told, paired, texts)
         return true
 
+    parted = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in _PARTS)
+    possible = f"least(x.n, y.n) >= {min_similarity!r}D * greatest(x.n, y.n) - 1e-6D and {parted} <= {_limit(min_similarity)}"
+
+    printed = fingerprint_pairs(marked, distinct, max_bits, possible)
+    close = verified(printed)
+    near = connected_components(close)
+
     def counted(keys: DataFrame) -> DataFrame:
         return materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "similar-buckets")
 
@@ -193,19 +228,18 @@ def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int =
         keyed, buckets = new, counted(new)
     met = materialize(keyed.join(buckets, "key"), "similar-met")
     weight = met.groupBy("node").agg(F.sum("many").alias("weight"))
-    members = materialize(distinct.join(weight, "node").select("node", (F.col("weight") / F.size("keys")).alias("weight"), *numbers), "similar-members")
+    members = materialize(distinct.join(weight, "node").join(near.withColumnRenamed("label", "near"), "node", "left")
+                          .select("node", (F.col("weight") / F.size("keys")).alias("weight"), *numbers, F.coalesce("near", "node").alias("near")), "similar-members")
     met = met.select("key", "node").join(members, "node")
 
-    parted = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in _PARTS)
-    possible = f"least(x.n, y.n) >= {min_similarity!r}D * greatest(x.n, y.n) - 1e-6D and {parted} <= {_limit(min_similarity)}"
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
 
-    heads = met.groupBy("key").agg(F.max(F.struct("weight", "node", *numbers)).alias("h")).select("key", "h.*")
-    least = (met.alias("x").join(heads.alias("y"), "key").where("x.node <> y.node").where(possible)
+    heads = met.groupBy("key").agg(F.max(F.struct("weight", "node", "near", *numbers)).alias("h")).select("key", "h.*")
+    least = (met.alias("x").join(heads.alias("y"), "key").where("x.near <> y.near").where(possible)
              .groupBy(F.col("x.node").alias("node")).agg(F.slice(F.sort_array(F.collect_set(F.struct("y.weight", "y.node")), False), 1, first_heads).alias("heads")))
     first = verified(least.select("node", F.explode("heads.node").alias("head")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")))
-    label = connected_components(first)
-    known = materialize(met.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-known")
+    label = connected_components(close.unionByName(first))
+    known = materialize(met.drop("near").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "similar-known")
     # Of one key, all that are not in the head's group meet all others, unless one group has the whole bucket.
     groups = (known.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.max(F.struct("weight", "node", "label"))["label"].alias("top"),
                                        F.min("label").alias("low"), F.max("label").alias("high"))
@@ -217,8 +251,8 @@ def similar_groups(docs: DataFrame, min_similarity: float = 0.8, shingle: int =
     pairs = (x.alias("x").join(y.alias("y"), ["key", "i", "j"])
              .where(f"x.label <> y.label and (y.label = y.top or x.node < y.node) and {possible}").select(*ends))
     second = verified(pairs)
-    true = materialize(first.unionByName(second), "similar-links")
-    discard(buckets, first, second, known, members, apart)
+    true = materialize(close.unionByName(first).unionByName(second), "similar-links")
+    discard(buckets, printed, close, first, second, known, members, apart)
     parts = connected_components(true)
     named = materialize(distinct.join(parts, "node", "left").select("f0", "f1", "of", F.coalesce("label", "node").alias("group")), "similar-groups")
     smallest = named.groupBy("group").agg(F.min("of").alias("label"))

@@ -18,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from loomgraph.llm import chat, decontam, htmltext, langid, linedup, packing, pii, simhash, similar, topk, toxicity
 from loomgraph.llm.components import connected_components
 
@@ -496,6 +497,32 @@ def test_every_pair_just_above_the_threshold_is_found(make):
     assert sorted(r["doc_id"] for r in similar.drop_near_duplicates(make(DOCS, rows)).collect()) == list(range(0, 600, 2))
 
 
+def test_near_dedup_is_simhash_before_anything_else(make, spark, monkeypatch):
+    """Copies within two bits are linked through SimHash's own blocks, also if nothing comes after them; unlike texts of one fingerprint are not."""
+    rng = random.Random(17)
+    texts = [sentence(rng, 400) for _ in range(40)]
+    texts += [near_copy(rng, t, 0.003) for t in texts] + [near_copy(rng, t, 0.02) for t in texts]
+    texts += ["much the same " * 300 + "one two three four five six", "much the same " * 300 + "seven eight nine ten eleven twelve thirteen", "", None]
+    prints = [fingerprint_plain(t) for t in texts]
+    assert prints[120] == prints[121] and similar.similarity(texts[120], texts[121]) < 0.8
+    group = list(range(len(texts)))
+    for a, b in combinations(range(len(texts)), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2 and similar.similarity(texts[a], texts[b]) >= 0.8:
+            group = [group[a] if g == group[b] else g for g in group]
+    want = sorted({group.index(g) for g in group})
+    assert 44 < len(want) < 120
+    seen = []
+
+    def links(distinct, *args, plain=simhash.links):
+        seen.append({r["fp"] % (1 << 64) for r in distinct.collect()})
+        return plain(distinct, *args)
+
+    monkeypatch.setattr(simhash, "links", links)
+    monkeypatch.setattr(similar, "prefix", lambda hashes, share, common=None: hashes[:0])
+    alone = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs(make, texts), "").collect())
+    assert {120, 121} <= set(want) and alone == want and seen == [set(prints)]
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
